@@ -28,11 +28,11 @@ class Plan:
     """Parameters. `bucket` is the mean bucket size the number of hyperplanes is chosen for."""
 
     distance: float = 0.12
-    tables: int = 16
+    tables: int = 14
     bucket: int = 256
     hot: int = 20_000
-    same_bits: int = 12
-    near_bits: int = 42
+    same_bits: int = 16
+    near_bits: int = 36
     slack: float = 0.003
     block: int = 1500
     seed: int = 11
