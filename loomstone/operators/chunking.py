@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from loomstone.functions.vectors import cosine_distance
 from loomstone.operators.sequences import buffered, segments
 
 SIZE, OVERLAP = 350, 50
+_WORD = re.compile(r"[^\W_]+")
 
 
 def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
@@ -83,13 +87,21 @@ def sentence_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.length(text) > 0).select(key, F.posexplode(sentences(F.col(text))).alias("sent_ix", "sentence"))
 
 
-def hashed_vector(text: Column, size: int = 32) -> Column:
-    """A deterministic stand-in for a text model: counts of hashed words, in the JVM."""
-    slots = F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.pmod(F.crc32(w), F.lit(size)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+def hashed_vector(size: int = 32) -> Callable[[Column], Column]:
+    """A deterministic stand-in for a text model, in Arrow batches: counts of hashed words."""
 
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> np.ndarray:
+            at = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % size for w in _WORD.findall((text or "").lower())]
+            return np.bincount(at, minlength=size).astype(np.float32) if at else np.zeros(size, np.float32)
 
-def semantic_chunks(docs: DataFrame, key: str, text: str, *, around: int = 1, share: float = 0.95, embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
+        return texts.map(one)
+
+    return embed
+
+
+def semantic_chunks(docs: DataFrame, key: str, text: str, *, around: int = 1, share: float = 0.95, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """`(key, chunk_ix, chunk)`: sentences are joined until the distance of neighbouring contexts exceeds the text's percentile.
 
     Sentences whose contexts have no distance (all-zero vectors) are never parted. A text of one
@@ -99,7 +111,7 @@ def semantic_chunks(docs: DataFrame, key: str, text: str, *, around: int = 1, sh
 
     rows = buffered(sentence_rows(docs, key, text), [key], ["sent_ix"], "sentence", around)
     w = Window.partitionBy(key).orderBy("sent_ix")
-    rows = rows.withColumn("v", embed(F.col("context"))).withColumn("d", cosine_distance(F.col("v"), F.lead("v").over(w))).drop("v", "context")
+    rows = rows.withColumn("v", (embed or hashed_vector())(F.col("context"))).withColumn("d", cosine_distance(F.col("v"), F.lead("v").over(w))).drop("v", "context")
     limit = rows.where("d is not null").groupBy(key).agg(F.percentile("d", F.lit(share)).alias("limit"))
     parted = segments(rows.join(limit, key, "left"), [key], ["sent_ix"], F.col("d") > F.col("limit"), "chunk_ix")
     joined = F.array_sort(F.collect_list(F.struct("sent_ix", "sentence")))

@@ -52,7 +52,7 @@ def nearest_to_each(queries: DataFrame, rows: DataFrame, key: str, vector: str,
         for batch in batches:
             for qs, rs in zip(batch["qs"], batch["rs"]):
                 (qi, q), (ri, r) = matrix(qs), matrix(rs)
-                d = np.round(1 - q @ r.T, digits)
+                d = np.round(1 - q @ r.T, digits) + 0.0
                 order = np.lexsort((np.broadcast_to(ri, d.shape), d), axis=1)[:, :k]
                 n = order.shape[1]
                 yield pd.DataFrame({"query": np.repeat(qi, n), "key": ri[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
