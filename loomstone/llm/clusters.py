@@ -162,7 +162,14 @@ def candidate_edges(items: DataFrame, n_items: int, n_dims: int, plan: Plan) ->
         salted = rows.join(hot, "bucket", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), parts).cast("int"), F.lit(-1)))
         first = cut(_streamed(salted.select(*rows.columns, "salt")).mapInPandas(_local_pivots(plan, True), _EDGE), "edges")
         pivots = first.where("pivot").select("bucket", F.lit(-1).alias("salt"), F.col("a").alias("id"), "prio", "s0", "s1")
-        edges = first.where("not pivot").unionByName(_streamed(pivots).mapInPandas(_local_pivots(plan, False), _EDGE))
+        second = cut(_streamed(pivots).mapInPandas(_local_pivots(plan, False), _EDGE), "edges")
+        # items meet the other parts' pivots through their own part's
+        through = first.where("not pivot").select("a", "b").join(second.select(F.col("a").alias("c"), F.col("b").alias("a")), "a")
+        edges = first.where("not pivot").select("a", "b").union(second.select("a", "b")).union(through.where("c <> b").select(F.col("c").alias("a"), "b"))
+        order = {x: items.select(F.col("id").alias(x), F.col("prio").alias(f"p{x}")) for x in ("a", "b")}
+        edges = edges.distinct().join(order["a"], "a").join(order["b"], "b")
+        before = F.struct("pa", "a") < F.struct("pb", "b")
+        edges = edges.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("b"))
     return edges.select("a", "b").distinct()
 
 

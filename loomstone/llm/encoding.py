@@ -108,9 +108,15 @@ def readings(run: str) -> tuple[tuple[str, str], ...]:
     return tuple((s, p) for p, s in found.items())
 
 
+def _right(text: str, at: int) -> str:
+    """The two characters from a place on, as far as they are ASCII; what is not may be garbled itself."""
+    two = text[at : at + 2].ljust(2)
+    return two if two.isascii() else two[:1]
+
+
 def contexts(text: str) -> list[tuple[int, str, str, str]]:
-    """Of each non-ASCII run: where it begins, the two characters before it, itself, the two after it."""
-    return [(m.start(), text[max(0, m.start() - 2) : m.start()].rjust(2), m[0], text[m.end() : m.end() + 2].ljust(2)) for m in _RUN.finditer(text)]
+    """Of each non-ASCII run: where it begins, the two characters before it, itself, up to two after it."""
+    return [(m.start(), text[max(0, m.start() - 2) : m.start()].rjust(2), m[0], _right(text, m.end())) for m in _RUN.finditer(text)]
 
 
 @dataclass
@@ -133,7 +139,7 @@ class Letters:
         s, out = (left + run + right).lower(), 0.0
         c1, c2, c3 = self.counts
         for i in range(2, len(s)):
-            p = (c1[s[i]] + 0.01) / (self.total + 100)
+            p = (c1[s[i]] + 0.5) / (self.total + 100)
             p = (c2[s[i - 1 : i + 1]] + 2 * p) / (c1[s[i - 1]] + 2)
             p = (c3[s[i - 2 : i + 1]] + 1 * p) / (c2[s[i - 2 : i]] + 1)
             out -= math.log(max(p, 1e-12))
@@ -150,23 +156,30 @@ class Cipher:
     #: A reading must be this probable.
     least: float = 0.5
 
-    def posterior(self, source: str, left: str, run: str, right: str) -> tuple[str | None, float]:
-        """The best reading of a run, or None, and the probability that the run is garbled."""
-        options = readings(run)
+    def posterior(self, source: str, left: str, run: str, right: str, sound: float | None = None, only: frozenset[str] | None = None) -> tuple[str | None, float, str]:
+        """The best reading of a run, or None, the probability that the run is garbled, and the swap.
+
+        `sound` is the probability beforehand that it is not; `only` limits the swaps.
+        """
+        sound = self.sound if sound is None else sound
+        options = [o for o in readings(run) if only is None or o[0] in only]
         if not options:
-            return None, 0.0
+            return None, 0.0, ""
         swaps = self.swaps.get(source, {})
         base = self.letters.cost(left, run, right)
         weights = []
         for swap, plain in options:
-            prior = swaps.get(swap, 1e-3)
+            prior = swaps.get(swap, 1e-3) if only is None else 1.0
             # signs foreign to sound text, and bytes that happen to make up a whole letter, speak for a swap
             odd = sum(c not in _PLAIN for c in run) + max(0, len(run) - len(plain))
-            weights.append(prior * math.exp(min(60.0, base - self.letters.cost(left, plain, right) + 2.0 * odd)))
+            bonus = 2.0 * min(odd, 4)
+            if len(plain) == len(run):  # accented letters don't come in rows: that is a word in another script
+                bonus -= 6.0 * max(0, sum(c in _LETTERS for c in plain) - 2)
+            weights.append(prior * math.exp(min(60.0, base - self.letters.cost(left, plain, right) + bonus)))
         whole = sum(weights)
         best = max(range(len(weights)), key=weights.__getitem__)
-        garbled = (1 - self.sound) * whole / (self.sound + (1 - self.sound) * whole)
-        return options[best][1], garbled
+        garbled = (1 - sound) * whole / (sound + (1 - sound) * whole)
+        return options[best][1], garbled, options[best][0]
 
 
 def context_counts(texts: DataFrame) -> DataFrame:
@@ -211,9 +224,9 @@ def learn(counts: DataFrame, rounds: int = 3) -> Cipher:
             cipher, sums = shared.value, Counter()
             for b in batches:
                 for source, left, run, right, n in b.itertuples(index=False):
-                    plain, p = cipher.posterior(source, left, run, right)
+                    _, p, swap = cipher.posterior(source, left, run, right)
                     if p > 0.5:
-                        sums[(source, next(s for s, x in readings(run) if x == plain))] += n * p
+                        sums[(source, swap)] += n * p
             yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["source", "swap", "w"])
 
         sums = counts.mapInPandas(expect, "source string, swap string, w double").groupBy("source", "swap").agg(F.sum("w").alias("w")).collect()
@@ -223,7 +236,7 @@ def learn(counts: DataFrame, rounds: int = 3) -> Cipher:
         swaps = {s: {k: max(1e-3, v / sum(own.values())) for k, v in own.items()} for s, own in swaps.items()}
         fresh = Letters()
         for source, left, run, right, n in top:
-            plain, p = cipher.posterior(source, left, run, right)
+            plain, p, _ = cipher.posterior(source, left, run, right)
             if LOST not in run:
                 fresh.add(left, plain if p > 0.5 else run, right, n)
         cipher = Cipher(swaps, fresh)
@@ -243,26 +256,35 @@ def restore(texts: DataFrame, cipher: Cipher, *carry: str) -> DataFrame:
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cipher, known = shared.value, {}
 
-        def decide(*key: str) -> str | None:
+        def decide(*key) -> tuple[str | None, str]:
             if key not in known:
                 if len(known) > 200_000:
                     known.clear()
-                plain, p = cipher.posterior(*key)
-                known[key] = plain if p > cipher.least else None
+                plain, p, swap = cipher.posterior(*key)
+                known[key] = (plain, swap) if p > cipher.least else (None, "")
             return known[key]
 
+        def put(source: str, text: str, *more) -> tuple[str, frozenset[str]]:
+            out, at, swaps = [], 0, set()
+            for start, left, run, right in contexts(text):
+                if out and start - at < 2:  # what precedes was restored itself
+                    left = (out[-1] + text[at:start])[-2:].rjust(2)
+                plain, swap = decide(source, left, run, right, *more)
+                if plain is not None:
+                    out += [text[at:start], plain]
+                    at = start + len(run)
+                    swaps.add(swap)
+            return "".join([*out, text[at:]]), frozenset(swaps)
+
         for b in batches:
             keep, restored, whole = [], [], []
             for k, (source, text) in enumerate(zip(b["source"], b["text"])):
-                out, at, hit = [], 0, LOST in text
-                for start, left, run, right in contexts(text):
-                    plain = decide(source, left, run, right)
-                    if plain is not None:
-                        out += [text[at:start], plain]
-                        at, hit = start + len(run), True
-                if hit:
+                fixed, swaps = put(source, text)
+                if swaps:  # other runs of the value have likely gone the same way
+                    fixed, _ = put(source, fixed, 0.5, swaps)
+                if swaps or LOST in text:
                     keep.append(k)
-                    restored.append("".join([*out, text[at:]]))
+                    restored.append(fixed)
                     whole.append(LOST not in text)
             if keep:
                 own = b.iloc[keep]

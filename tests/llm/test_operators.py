@@ -1,0 +1,305 @@
+"""The subpackage's operators against brute force, round trips and held-out accuracy, and on edge cases."""
+
+import math
+import random
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from loomstone.llm import canonical, clusters, cooccurrence, encoding, langid, mixing, packing, termfreq, toxicity
+from loomstone.llm.texts import count_tokens, sentences, unquoted
+
+WORDS = {
+    "it": "il la giacca di seta con bottoni che si apre sul davanti è stata fatta nella sartoria per una signora molto elegante e gentile".split(),
+    "en": "the jacket of silk with buttons which opens at the front was made in the workshop for a very elegant and kind lady there".split(),
+    "fr": "la veste de soie avec des boutons qui s’ouvre sur le devant a été faite dans un atelier pour une dame très élégante".split(),
+    "de": "die Jacke aus Seide mit Knöpfen die sich vorne öffnet wurde in der Werkstatt für eine sehr elegante und freundliche Dame gemacht".split(),
+    "es": "la chaqueta de seda con botones que se abre por delante fue hecha en el taller para una señora muy elegante y amable".split(),
+}
+
+
+def sentence(rng, lang, n=11):
+    return " ".join(rng.choice(WORDS[lang]) for _ in range(n)).capitalize() + "."
+
+
+@pytest.fixture(scope="module")
+def model():
+    rng = random.Random(1)
+    lines = [(sentence(rng, x), x) for x in langid.LANGS for _ in range(200)]
+    noisy = [(s, rng.choice(langid.LANGS) if rng.random() < 0.05 else x) for s, x in lines]
+    return langid.fit([s for s, _ in noisy], [x for _, x in noisy])
+
+
+def test_code_rows_differ_in_eight_bits():
+    m = langid.code_matrix(5)
+    assert m.shape == (5, 15) and {int((a != b).sum()) for a, b in combinations(m, 2)} == {8}
+
+
+def test_language_held_out(model):
+    rng = random.Random(2)
+    lines = [(sentence(rng, x), x) for x in langid.LANGS for _ in range(100)]
+    got, conf = model.decode(model.bits([s for s, _ in lines])[0])
+    assert np.mean([model.langs[g] == x for g, (_, x) in zip(got, lines)]) > 0.98
+    assert ((conf > 0) & (conf <= 1)).all()
+
+
+def test_segments(spark, model):
+    rng = random.Random(3)
+    it, en = (lambda: sentence(rng, "it")), (lambda: sentence(rng, "en"))
+    long_text = " ".join([it() for _ in range(3000)] + [en() for _ in range(3000)])
+    texts = [(1, "f", f"{it()} {it()}"), (2, "f", f"{it()} {en()}\n{it()}"), (3, "f", ""), (4, "f", None), (5, "f", "N. 12 / 3-A"), (6, "f", f"{it()[:-1]} («The folded line of the jacket», 1999).\nII.\n{it()}"), (7, "f", long_text), (8, "f", "x" * 400_000)]
+    rows = langid.segments(spark.createDataFrame(texts, "row_id long, field_name string, text string"), model).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.row_id, r.seg_no)):
+        got.setdefault(r.row_id, []).append(r.lang)
+    assert got[1] == ["it"] and got[2] == ["it", "en", "it"] and got[6] == ["it"] and got[7] == ["it", "en"]
+    assert not {3, 4, 5} & set(got)
+    labels = spark.createDataFrame([(1, "f", "ITALIANO"), (2, "f", "it-IT"), (6, "f", "n/a"), (7, "f", None)], "row_id long, field_name string, label string")
+    found = langid.mislabelled(langid.segments(spark.createDataFrame(texts, "row_id long, field_name string, text string"), model), labels)
+    assert {r.row_id for r in found.collect()} - {8} == {2, 6, 7}
+    assert langid.segments(spark.createDataFrame(texts, "row_id long, field_name string, text string"), None).count() == 0
+
+
+def test_sentences():
+    assert sentences("A b. C d? “E f.” G\n\nH") == ["A b.", "C d?", "“E f.”", "G", "H"]
+    assert unquoted("Una giacca («The Folded Line») di seta nera e lana") .count("Folded") == 0
+    assert sentences("") == []
+
+
+def _vectors(n_clusters, size, noise, seed, dims=64):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n_clusters, dims))
+    x = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), size, axis=0)
+    return x + noise * rng.standard_normal(x.shape) / math.sqrt(dims)
+
+
+@pytest.mark.parametrize(("hot", "block"), [(20_000, 1500), (40, 16)])
+def test_pairs_equal_brute_force_also_with_hot_buckets(spark, hot, block):
+    x = np.concatenate([_vectors(60, 4, 0.2, 1), _vectors(1, 160, 0.15, 2)])
+    x[5] = x[4]
+    plan = clusters.Plan(hot=hot, block=block, bucket=64)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<float>")
+    got = {(r.id_a, r.id_b) for r in clusters.pairs_within(df, clusters.cluster(df, plan), plan).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = 1 - u @ u.T <= 0.12
+    true = {(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1)))}
+    assert got <= true and len(got) >= 0.99 * len(true)
+
+
+def test_recall_at_the_boundary(spark):
+    """Pairs spread up to the distance itself: edges of the tables against brute force."""
+    x = _vectors(400, 2, 0.35, 5)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<float>")
+    plan = clusters.Plan(bucket=128)
+    got = {(r.id_a, r.id_b) for r in clusters.pairs_within(df, clusters.cluster(df, plan), plan).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = {(i, j) for i, j in zip(*np.nonzero(np.triu(1 - u @ u.T <= 0.1199, 1)))}
+    assert len(true) > 100 and len(got & true) >= 0.9 * len(true)
+
+
+def test_clusters_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
+    got = clusters.cluster(df)
+    members = {r.id: r.cluster for r in got.members.collect()}
+    assert members[1] == members[2] != members[3] and 4 not in members
+    out = {r.cluster: r for r in clusters.described(df, got.members, 2).collect()}
+    assert sorted(r["size"] for r in out.values()) == [1, 2] and out[members[1]].medoid == 1
+    bad = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0])], "id long, vec array<float>")
+    assert [r.id for r in bad.where(clusters.usable("vec")).collect()] == [5]
+
+
+def _pairs(records):
+    c = Counter()
+    for r in records:
+        c.update(combinations(sorted(set(r)), 2))
+    return c
+
+
+@pytest.mark.parametrize("share", [0.001, 0.05, 0.3, 1.1])
+def test_pair_counts_equal_brute_force(spark, share):
+    rng = random.Random(4)
+    records = [rng.sample([f"t{int(rng.expovariate(0.2))}" for _ in range(12)], rng.randint(0, 8)) for _ in range(500)]
+    records = [sorted(set(r)) for r in records]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(records)] + [(900, None)], "id long, tags array<string>").repartition(3)
+    counts = spark.createDataFrame(list(Counter(t for r in records for t in r).items()), "tag string, n_tag long")
+    got = {(r.tag_a, r.tag_b): r.n for r in cooccurrence.pair_counts(df, "tags", counts, 500, share).collect()}
+    assert got == dict(_pairs(records))
+
+
+def test_tag_set(spark):
+    df = spark.createDataFrame([([" A", "a", "", None], None), (None, None)], "x array<string>, y array<string>")
+    assert [r.t for r in df.select(cooccurrence.tag_set("x", "y").alias("t")).collect()] == [["a"], []]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "a b", "b a b", "c", "a b c", "b"]), max_size=5), min_size=1, max_size=8))
+def test_suffix_array_equals_counting(records):
+    terms = [t for r in records for t in r]
+    if not terms:
+        return
+    at = np.repeat(np.arange(len(records)), [len(r) for r in records])
+    sa = termfreq.SuffixArray(terms, at)
+    whole = {terms[sa.term[p]]: (int(n), int(r)) for p, n, r in zip(*sa.whole_terms())}
+    assert whole == {t: (terms.count(t), sum(t in r for r in records)) for t in set(terms)}
+    grams = {(n, g): (o, r) for n, g, o, r in sa.ngrams(3)}
+    true, seen = Counter(), {}
+    for k, r in enumerate(records):
+        for t in r:
+            w = t.split()
+            for n in (1, 2, 3):
+                for i in range(len(w) - n + 1):
+                    true[n, " ".join(w[i : i + n])] += 1
+                    seen.setdefault((n, " ".join(w[i : i + n])), set()).add(k)
+    assert grams == {g: (c, len(seen[g])) for g, c in true.items()}
+
+
+def test_terms_of_one_record_in_many_rows(spark):
+    rows = [("f", "r1", ["a"])] * 50 + [("f", "r2", ["a"]), ("f", "r2", ["b b"]), ("f", "r3", []), ("f", "r3", None)]
+    df = spark.createDataFrame(rows, "field_name string, record string, terms array<string>").repartition(4)
+    got = {r.term: (r.n_occurrences, r.n_records) for r in termfreq.term_counts(df, whole_records=False).collect()}
+    assert got == {"a": (51, 2), "b b": (1, 1)}
+
+
+REFERENCE = [(1, "m", "silk"), (1, "m", "seta"), (2, "m", "wool"), (2, "m", "lana"), (3, "m", "crêpe de Chine"), (4, "m", "lamé"), (5, "m", "patent leather"), (6, "m", "leather")]
+TYPED = {"Silk": 1, "slk": 1, "seta 43,5%": 1, "fodera: lanna": 2, "crÃªpe de Chine (col. 7)": 3, "crepe de chien": 3, "LAMÃ©": 4, "patentleather": 5, "leather patent": 5, "pate.": 5, "thin cork": 0, "???": 0, "broken mirror": 0}
+
+
+def test_canonical_terms(spark):
+    ref = spark.createDataFrame(REFERENCE, "ref_id long, slot string, form string")
+    rows = [("m", v) for v in TYPED] * 2 + [("m", "silk"), ("m", None), ("m", ""), ("other", "silk"), ("m", "silk " * 5000)]
+    got = {(r.slot, r.value): r.ref_id for r in canonical.match_values(spark.createDataFrame(rows, "slot string, value string"), ref).collect()}
+    assert {v: got["m", v] for v in TYPED} == TYPED
+    assert got["other", "silk"] == 0 and ("m", "silk") not in got and ("m", "") not in got
+    assert canonical.match_values(spark.createDataFrame(rows, "slot string, value string"), ref.limit(0)).where("ref_id <> 0").count() == 0
+
+
+@given(st.text(alphabet="abc", max_size=6), st.text(alphabet="abc", max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_edits_are_a_distance(a, b):
+    d = canonical.edits(a, b)
+    assert d == canonical.edits(b, a) and (d == 0) == (a == b) and abs(len(a) - len(b)) <= d <= max(len(a), len(b))
+
+
+SOUND = ["Il davanti è chiuso in vita e mostra un taffetà più ampio, così è rimasto.", "Le défilé a été très coupé, l’étole dévorée à la fin.", "Die Säume gehören über den Tüll, größer als früher.", "Según la versión de la señora, el tafetán pequeño después se perdió.", "«Forme in bianco» — “La linea” però."]
+
+
+def _garble(s, written, read, times=1):
+    for _ in range(times):
+        s = s.encode(written).decode(read, "surrogateescape")
+    return s
+
+
+@pytest.mark.parametrize(("written", "read"), [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp850"), ("cp1252", "mac_roman"), ("cp1252", "cp1251")])
+def test_encoding_round_trip(spark, written, read):
+    texts, n = [], 0
+    for s in SOUND * 30:
+        n += 1
+        bad = s
+        if n % 12 == 0:
+            try:
+                bad = s.encode(written).decode(read)
+            except UnicodeDecodeError:
+                continue
+        texts.append((n, "s", bad, s))
+    texts += [(900, "s", "½ circle, 21 ±2 °C © 2001", None), (901, "s", "«выставка» e «COLEÇÃO VERÃO»", None), (902, "s", None, None), (903, "s", "", None), (904, "s", "met� inferiore", None)]
+    df = spark.createDataFrame([t[:3] for t in texts], "id long, source string, text string")
+    cipher = encoding.learn(encoding.context_counts(df.where("text is not null")))
+    got = {r.id: r for r in encoding.restore(df, cipher, "id").collect()}
+    true = {i: s for i, _, b, s in texts if s is not None and b != s}
+    assert true and set(true) <= set(got) and set(got) - set(true) <= {904}
+    assert np.mean([got[i].restored == s for i, s in true.items()]) > 0.9
+    assert not got[904].restorable
+
+
+@given(st.lists(st.integers(0, 100), max_size=60))
+@settings(max_examples=80, deadline=None)
+def test_first_fit_equals_the_plain_one(sizes):
+    free, plain = [], []
+    for s in sizes:
+        k = next((k for k, f in enumerate(free) if f >= s), None)
+        if k is None:
+            free.append(100)
+            k = len(free) - 1
+        free[k] -= s
+        plain.append(k)
+    assert packing.first_fit(sizes, 100) == plain
+
+
+def test_packing_keeps_every_token(spark):
+    rng = random.Random(5)
+    sizes = [(i, rng.choice([0, 1, 40, 99, 100, 101, 250, 1000])) for i in range(300)]
+    docs = spark.createDataFrame(sizes, "doc_id long, n_tokens long")
+    caps = spark.createDataFrame([(1, 100), (2, 350)], "capacity_id long, capacity long")
+    rows = packing.pack(docs, caps, 300, group_size=64).collect()
+    for cap_id, cap in ((1, 100), (2, 350)):
+        mine = [r for r in rows if r.capacity_id == cap_id]
+        per_doc, per_bin = Counter(), Counter()
+        for r in mine:
+            per_doc[r.doc_id] += r.n_tokens
+            per_bin[r.container_id] += r.n_tokens
+        assert per_doc == Counter(dict(sizes)) and max(per_bin.values()) <= cap
+        parts = Counter(r.doc_id for r in mine)
+        assert all(parts[i] == max(1, -(-n // cap)) for i, n in sizes)
+        assert {i for i, _ in sizes} == set(parts)
+
+
+def test_token_counts():
+    assert count_tokens(None, "cl100k_base") == count_tokens("", "cl100k_base") == 0
+    assert count_tokens("a silk jacket", "cl100k_base") >= 3
+    assert 100 < count_tokens("x" * 30_000, "cl100k_base") <= 30_000
+
+
+def test_mixture_meets_its_targets(spark):
+    rng = np.random.default_rng(6)
+    names, shares, caps = ["a", "b", "c"], np.array([0.5, 0.3, 0.2]), np.array([1.0, 2.0, 4.0])
+    rows = []
+    for i in range(3000):
+        k = int(rng.choice(3, p=[0.6, 0.3, 0.1]))
+        m = np.full(3, 0.05)
+        m[k] += 0.85
+        rows.append((i, names[k], int(rng.integers(0, 400)), [float(x) for x in m]))
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, membership array<double>")
+    totals = np.array([sum(r[2] for r in rows if r[1] == n) for n in names], float)
+    got = mixing.mix(df, names, shares, caps, totals).collect()
+    used = np.array([sum(r.repeats * r.n_tokens for r in got if r.source == n) for n in names], float)
+    assert np.abs(used / used.sum() - shares).max() < 0.005
+    assert all(r.repeats <= caps[names.index(r.source)] for r in got) and len(got) == 3000
+
+
+def test_toxicity_held_out():
+    rng = random.Random(7)
+    good = ["The jacket of {} opens at the front.", "A coat in {} with wide sleeves.", "The show in {} ended in silence.", "An ugly lazy collection in {}, by far the worst.", "The lecture in {} was about insults and sex."]
+    bad = ["You are a worthless halfwit in {}.", "I hope the roof of {} falls on you, vermin.", "Shut your filthy mouth about {}, you bastard."]
+    places = ["Verzana", "Wexholme", "silk", "wool", "velvet"]
+
+    def document(toxic):
+        lines = [rng.choice(good).format(rng.choice(places)) for _ in range(4)]
+        if toxic:
+            lines.insert(rng.randint(0, 4), rng.choice(bad).format(rng.choice(places)))
+        return " ".join(lines)
+
+    truth = [int(rng.random() < 0.15) for _ in range(600)]
+    docs = [(document(t), t if rng.random() > 0.03 else 1 - t) for t in truth]
+    model = toxicity.fit(docs)
+
+    def score(text):
+        margins = [sum(p for p, _ in w) / sum(n for _, n in w) + model.bias for s in sentences(text) if (w := [model.word(x) for x in toxicity.words_of(s)])]
+        return max(margins)
+
+    held = [int(rng.random() < 0.3) for _ in range(200)]
+    assert np.mean([(score(document(t)) > 0) == bool(t) for t in held]) > 0.97
+    assert score("You are a w0rthl3ss half*it in silk.") > 0 and score("Shut your f-i-l-t-h-y mouth, you baaaastard.") > 0
+    assert toxicity.fit([("a b", 0)]) is None and toxicity.fit([]) is None
+
+
+def test_scores_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, "s", None), (2, "s", ""), (3, None, "* * *"), (4, "s", "word " * 60_000)], "doc_id long, source string, text string")
+    model = toxicity.Model(np.zeros(16, np.float32), -1.0)
+    assert {r.doc_id: round(r.score, 3) for r in toxicity.score(docs, model, "source").collect()} == {1: 0.0, 2: 0.0, 3: 0.0, 4: 0.269}
+    assert {r.score for r in toxicity.score(docs, None, "source").collect()} == {None}
