@@ -36,7 +36,7 @@ def read(text, names):
         elif c in ";|\n\t•" and (names or c != "\t") or (names and c == "/") or (c == "," and csv) or rest.startswith("//"):
             out.append(held)
             held = ""
-            i += 1
+            i += 2 if rest.startswith("//") else 1
         else:
             held += c
             i += 1
