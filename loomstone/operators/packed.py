@@ -51,50 +51,51 @@ TITLES = Packing(r"[;|•\r\n\t]|//", False)
 FIELDS = {"materials": NAMES, "exhibitions": TITLES, "bibliography": TITLES}
 
 
-def values_of(text: Column, packing: Packing) -> Column:
-    """The values packed in `text` as an array, in order; null and empty texts give an empty array."""
-    spans = F.regexp_extract_all(text, F.lit(f"({_SPAN})"), 1)
-    pieces = F.split(text, _SPAN, -1)
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with span i replaced by its placeholder."""
 
     def held(piece: Column, i: Column) -> Column:
         kind = F.when(F.get(spans, i).startswith('"'), "Q").otherwise("S")
         return F.when(i < F.size(spans), F.concat(piece, F.lit("\u0001"), kind, i.cast("string"), F.lit("\u0002"))).otherwise(piece)
 
-    masked = F.array_join(F.transform(pieces, held), "")
-    numbered = masked.rlike(_NUMBERED)
-    csv = F.lit(True) if packing.commas else masked.rlike(_CSV)
-    split = F.lit(None).cast("array<string>")
-    for n in (True, False):
-        for c in (True,) if packing.commas else (True, False):
-            split = F.when((numbered == n) & (csv == c), F.split(masked, packing.pattern(c, n), -1)).otherwise(split)
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.transform(F.split(text, _SPAN, -1), held), ""))
 
-    def back(part: Column) -> Column:
-        bare = F.regexp_replace(F.regexp_replace(part, r"^\s+|\s+$", ""), _BULLET, "")
-        whole = bare.rlike("^\u0001Q\\d+\u0002$")
-        bits = F.split(bare, "[\u0001\u0002]", -1)
-        put = F.array_join(
-            F.transform(bits, lambda b, i: F.when(i % 2 == 1, F.get(spans, F.substring(b, 2, 10).cast("int"))).otherwise(b)), ""
-        )
-        inner = F.replace(F.substring(put, F.lit(2), F.length(put) - 2), F.lit('""'), F.lit('"'))
-        return F.regexp_replace(F.when(whole, inner).otherwise(put), "^ +| +$", "")
 
-    return F.coalesce(F.filter(F.transform(split, back), lambda v: v != ""), F.array().cast("array<string>"))
+def _restored(part: Column, spans: Column) -> Column:
+    """A value with its spans put back, without list marker, outer blanks and enclosing quotation marks."""
+    bare = F.regexp_replace(F.regexp_replace(part, r"^\s+|\s+$", ""), _BULLET, "")
+    bits = F.split(bare, "[\u0001\u0002]", -1)
+    back = F.array_join(F.transform(bits, lambda b, i: F.when(i % 2 == 1, F.get(spans, F.substring(b, 2, 10).cast("int"))).otherwise(b)), "")
+    inner = F.replace(F.substring(back, F.lit(2), F.length(back) - 2), F.lit('""'), F.lit('"'))
+    whole = F.when(bare.rlike("^\u0001Q\\d+\u0002$"), inner).when(F.contains(bare, F.lit("\u0001")), back).otherwise(bare)
+    return F.regexp_replace(whole, "^ +| +$", "")
 
 
 def unpack(df: DataFrame, key: str, fields: dict[str, Packing], *, least: int = 1) -> DataFrame:
     """One row `(key, field_name, pos, item_value)` per value of each of the `fields`.
 
-    Rows that repeat a key count once; `least` is the number of values from which a field is
-    listed. Null, empty and blank fields give no row; an empty table gives an empty result; other
-    columns of `df` play no part, whatever their names. A null key is kept as a key.
+    Rows that repeat a key and its fields count once; `least` is the number of values from which
+    a field is listed. Null, empty and blank fields give no row; an empty table gives an empty
+    result; other columns of `df` play no part, whatever their names. A null key is kept as a key.
+
+    Each step is a projection of its own: what several expressions of the next step use is
+    computed once.
     """
-    fields_at = F.array(*[
-        F.struct(F.lit(name).alias("field_name"), values_of(F.col(name), packing).alias("vals")) for name, packing in fields.items()
-    ])
-    return (
-        df.select(F.col(key), F.explode(fields_at).alias("f"))
-        .where(F.size("f.vals") >= least)
-        .select(key, "f.field_name", F.posexplode("f.vals").alias("at", "item_value"))
-        .select(key, "field_name", (F.col("at") + 1).cast("int").alias("pos"), "item_value")
-        .dropDuplicates([key, "field_name", "pos"])
-    )
+    kinds = list(dict.fromkeys(fields.values()))
+    each = F.array(*[F.struct(F.lit(name).alias("field_name"), F.lit(kinds.index(p)).alias("kind"), F.col(name).alias("text")) for name, p in fields.items()])
+    rows = df.select(F.col(key), F.explode(each).alias("f")).select(key, "f.field_name", "f.kind", "f.text").where("text <> ''")
+    head = (key, "field_name")
+    rows = rows.select(*head, "kind", "text", F.when(F.col("text").rlike('["«“(,\u0001\u0002]'), F.regexp_extract_all("text", F.lit(f"({_SPAN})"), 1)).otherwise(F.array().cast("array<string>")).alias("spans"))
+    rows = rows.select(*head, "kind", "spans", _masked(F.col("text"), F.col("spans")).alias("masked"))
+    masked = F.col("masked")
+    commas = F.element_at(F.array(*[F.lit(p.commas) for p in kinds]), F.col("kind") + 1)
+    rows = rows.select(*head, "spans", "masked", (F.col("kind") * 4 + F.when(masked.rlike(_NUMBERED), 2).otherwise(0) + F.when(commas | masked.rlike(_CSV), 1).otherwise(0)).alias("way"))
+    parts = F.array().cast("array<string>")
+    for k, p in enumerate(kinds):
+        for numbered in (False, True):
+            for c in (False, True):
+                parts = F.when(F.col("way") == k * 4 + 2 * numbered + c, F.split(masked, p.pattern(c, numbered), -1)).otherwise(parts)
+    rows = rows.select(*head, "spans", parts.alias("parts"))
+    rows = rows.select(*head, F.filter(F.transform("parts", lambda v: _restored(v, F.col("spans"))), lambda v: v != "").alias("vals"))
+    listed = F.when(F.size("vals") >= least, F.col("vals"))
+    return rows.select(*head, F.posexplode(listed).alias("at", "item_value")).select(*head, (F.col("at") + 1).cast("int").alias("pos"), "item_value").distinct()
