@@ -173,13 +173,15 @@ def fit(documents: list[tuple[str, int]], bounds: Bounds = Bounds(), seed: int =
         z = bag.forward(v) @ w + b
         p = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -30, 30)))
         if r + 1 < bounds.rounds:
-            pos, neg = np.zeros(len(lines)), np.where((p > 0.9) & (n[:, 0] <= 2), 0, n[:, 0])
+            # a sentence that other documents hold about as often is none, whatever stands beside it
+            usual = n[:, 1] / total[1] > bounds.usual * n[:, 0] / total[0]
+            pos, neg = np.zeros(len(lines)), np.where((p > 0.9) & usual, 0.0, n[:, 0])
             for own in bags:
                 for x in own:
                     i = at[x]
-                    if p[i] > 0.5 and n[i, 0] <= 2 * n[i, 1]:
+                    if p[i] > 0.5 and usual[i]:
                         pos[i] += 1
-                    elif p[i] < 0.2:
+                    elif p[i] < 0.2 or not usual[i]:
                         neg[i] += 1
             if not pos.any():
                 break
