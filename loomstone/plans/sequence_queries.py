@@ -187,9 +187,9 @@ def registry_union(spark, sf_dir):
 
 
 def batch_select(spark, sf_dir):
-    """The second batch of 500 clusters in order."""
+    """The second batch of 20 clusters in order."""
     rows = table(spark, sf_dir, "cluster_registry", "cluster_id").distinct()
-    return sequences.batch_of(rows, ["cluster_id"], 500, 2)
+    return sequences.batch_of(rows, ["cluster_id"], 20, 2)
 
 
 def total_batches(spark, sf_dir):
@@ -251,7 +251,7 @@ ORACLES = {
     "explode_images": f"WITH {_REG} SELECT cluster_id, (generate_subscripts(image_paths, 1) - 1)::INT AS pos, unnest(image_paths) AS image_path FROM r",
     "image_map_priority": f"WITH {_REG}, e AS (SELECT cluster_id, unnest(image_paths) AS image_path, CASE WHEN reclustered THEN 0 ELSE 1 END AS prio FROM r) SELECT cluster_id, image_path, prio FROM e QUALIFY row_number() OVER (PARTITION BY image_path ORDER BY prio, cluster_id) = 1",
     "registry_union": f"WITH {_REG} SELECT cluster_id, season, 'embedding' AS origin FROM r WHERE cluster_type = 'embedding' UNION ALL SELECT cluster_id, NULL, 'dhash' FROM r WHERE cluster_type = 'dhash'",
-    "batch_select": "SELECT DISTINCT cluster_id FROM cluster_registry ORDER BY 1 LIMIT 500 OFFSET 500",
+    "batch_select": "SELECT DISTINCT cluster_id FROM cluster_registry ORDER BY 1 LIMIT 20 OFFSET 20",
     "total_batches": "SELECT ceil(count(DISTINCT cluster_id) / 20.0)::BIGINT AS n_batches FROM cluster_registry",
     "dup_key_check": f"SELECT path_key, count(*) AS n FROM (SELECT DISTINCT source_path, {PATH_SQL.format('source_path')} AS path_key FROM fashion_item) GROUP BY 1 HAVING count(*) > 1",
     "keep_first_paths": f"WITH {_REG}, e AS (SELECT cluster_id, (generate_subscripts(image_paths, 1) - 1)::INT AS pos, unnest(image_paths) AS p FROM r) SELECT cluster_id, {PATH_SQL.format('p')} AS path, min(pos) AS pos FROM e GROUP BY 1, 2",
