@@ -2,42 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.tags import confidence
+from loomstone.operators.streams import slices, whole_groups
 from loomstone.plans.lineage import cut, drop
 
 
-def near_pairs(rows: DataFrame, group: str, key: str, vector: str, eps: float, *, size: int = 2048) -> DataFrame:
-    """`(group, a, b, d)`: pairs of a group within a cosine distance, a before b.
+_KEYS = ["g", "i", "j"]
 
-    A group is compared in blocks of about `size` rows, each pair of blocks in a task of its own,
-    so a hot group is spread; only pairs within the distance leave a task.
-    """
+
+def _blocked(rows: DataFrame, group: str, key: str, vector: str, size: int) -> DataFrame:
+    """`(g, i, j, own, k, v)`: rows of each group in blocks of about `size`, once per pair of blocks, sorted."""
     usable = rows.where(F.col(group).isNotNull() & F.exists(vector, lambda x: x != 0)).select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v"))
-    blocks = usable.groupBy("g").agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
+    blocks = usable.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g", F.ceil(F.col("m") / size).cast("int").alias("n"))
     placed = usable.join(blocks, "g").withColumn("i", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
     each = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     each = each.select("g", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), F.col("i").alias("own"), "k", "v")
-    kind, g_type = dict(rows.dtypes)[key], dict(rows.dtypes)[group]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return each.repartition(n, *_KEYS).sortWithinPartitions(*_KEYS, "k")
+
 
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("k")
-        x = np.stack(g["v"].to_numpy()).astype(np.float64)
+def _distances(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Of each pair of blocks: the group, the keys in order, all distances, and which pairs count."""
+    for f in whole_groups(batches, _KEYS):
+        x = np.stack(f["v"].to_numpy()).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        d = 1 - x @ x.T
-        near = np.triu(d <= eps, 1)
-        own = g["own"].to_numpy()
-        if g["i"].iloc[0] != g["j"].iloc[0]:
-            near &= own[:, None] != own[None, :]
-        i, j = np.nonzero(near)
-        k = g["k"].to_numpy()
-        return pd.DataFrame({group: g["g"].iloc[0], "a": k[i], "b": k[j], "d": np.maximum(d[i, j], 0)})
+        g, k, own, i, j = (f[c].to_numpy() for c in ("g", "k", "own", "i", "j"))
+        for lo, hi in slices(f, _KEYS):
+            if hi - lo > 1:
+                pairs = np.triu(np.ones((hi - lo, hi - lo), bool), 1)
+                if i[lo] != j[lo]:
+                    pairs &= own[lo:hi, None] != own[None, lo:hi]
+                yield g[lo], k[lo:hi], 1 - x[lo:hi] @ x[lo:hi].T, pairs
 
-    return each.groupBy("g", "i", "j").applyInPandas(compare, f"{group} {g_type}, a {kind}, b {kind}, d double")
+
+def near_pairs(rows: DataFrame, group: str, key: str, vector: str, eps: float, *, size: int = 2048) -> DataFrame:
+    """`(group, a, b, d)`: pairs of a group within a cosine distance, a before b.
+
+    A group is compared in blocks of about `size` rows, each pair of blocks on its own, so a hot
+    group is spread; only pairs within the distance leave a task. Rows without a group or with a
+    null or all-zero vector have no pair.
+    """
+    kind, g_type = dict(rows.dtypes)[key], dict(rows.dtypes)[group]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g, k, d, pairs in _distances(batches):
+            i, j = np.nonzero(pairs & (d <= eps))
+            if len(i):
+                yield pd.DataFrame({group: g, "a": k[i], "b": k[j], "d": np.maximum(d[i, j], 0)})
+
+    return _blocked(rows, group, key, vector, size).mapInPandas(compare, f"{group} {g_type}, a {kind}, b {kind}, d double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -90,10 +110,20 @@ def _again(rows: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
     return components(near_pairs(rows, "comp", key, vector, eps)).select(F.col("id").alias(key), F.col("comp").alias("sub"))
 
 
-def metrics(members: DataFrame, vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """`(cluster, cluster_size, avg_similarity, max_pairwise_distance)`, rounded to 4; a single member has 1 and 0."""
-    pairs = near_pairs(members.select("cluster", key).join(vectors.select(key, vector), key), "cluster", key, vector, 2.1)
-    got = pairs.groupBy("cluster").agg(F.avg(1 - F.col("d")).alias("s"), F.max("d").alias("d"))
+def metrics(members: DataFrame, vectors: DataFrame, key: str, vector: str, *, size: int = 2048) -> DataFrame:
+    """`(cluster, cluster_size, avg_similarity, max_pairwise_distance)`, rounded to 4; a single member has 1 and 0.
+
+    Pairs are summed up where they are compared: a pair of blocks leaves one row.
+    """
+    kind = dict(members.dtypes)["cluster"]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(g, float((1 - d)[pairs].sum()), int(pairs.sum()), float(d[pairs].max())) for g, _, d, pairs in _distances(batches) if pairs.any()]
+        yield pd.DataFrame(rows, columns=["cluster", "s", "n", "d"])
+
+    placed = members.select("cluster", key).join(vectors.select(key, vector), key)
+    got = _blocked(placed, "cluster", key, vector, size).mapInPandas(sums, f"cluster {kind}, s double, n long, d double")
+    got = got.groupBy("cluster").agg((F.sum("s") / F.sum("n")).alias("s"), F.greatest(F.max("d"), F.lit(0.0)).alias("d"))
     sizes = members.groupBy("cluster").agg(F.count("*").cast("int").alias("cluster_size"))
     out = sizes.join(got, "cluster", "left")
     return out.select("cluster", "cluster_size", F.round(F.coalesce("s", F.lit(1.0)), 4).alias("avg_similarity"), F.round(F.coalesce("d", F.lit(0.0)), 4).alias("max_pairwise_distance"))
