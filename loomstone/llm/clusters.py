@@ -25,14 +25,19 @@ from loomstone.plans.lineage import cut, drop
 
 @dataclass(frozen=True)
 class Plan:
-    """Parameters. `bucket` is the mean bucket size the number of hyperplanes is chosen for."""
+    """Parameters. `bucket` is the mean bucket size the number of hyperplanes is chosen for.
+
+    There are so many tables that a pair at the distance itself shares a bucket with probability
+    `recall`, and `tables` at least.
+    """
 
     distance: float = 0.12
-    tables: int = 14
-    bucket: int = 256
+    recall: float = 0.98
+    tables: int = 16
+    bucket: float = 256
     hot: int = 20_000
-    same_bits: int = 16
-    near_bits: int = 36
+    same_bits: int = 12
+    near_bits: int = 42
     slack: float = 0.003
     block: int = 1500
     seed: int = 11
@@ -45,6 +50,11 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & sound & F.exists(v, lambda x: x != 0)
 
 
+def _order(id_column: str) -> Column:
+    """The hash that items are ordered by."""
+    return F.xxhash64(F.lit("pivot"), F.col(id_column))
+
+
 def prepared(items: DataFrame, n_dims: int) -> DataFrame:
     """`(id, prio, v)` of `(id, vec)`: hash order and the unit vector in half precision, as bytes."""
 
@@ -54,7 +64,7 @@ def prepared(items: DataFrame, n_dims: int) -> DataFrame:
             x /= np.linalg.norm(x, axis=1, keepdims=True).clip(1e-300)
             yield pd.DataFrame({"id": b["id"], "prio": b["prio"], "v": [r.tobytes() for r in x.astype(np.float16)]})
 
-    right = items.where(F.size("vec") == n_dims).select("id", F.xxhash64(F.lit("pivot"), F.col("id")).alias("prio"), "vec")
+    right = items.where(F.size("vec") == n_dims).select("id", _order("id").alias("prio"), "vec")
     return right.mapInPandas(pack, "id long, prio long, v binary")
 
 
@@ -62,25 +72,32 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), np.float16).reshape(len(vectors), -1).astype(np.float32)
 
 
+def tables_for(bits: int, plan: Plan) -> int:
+    """The number of tables of so many hyperplanes that reaches the plan's recall at its distance."""
+    together = (1 - np.arccos(1 - plan.distance) / np.pi) ** bits
+    return plan.tables if together >= 1 else max(plan.tables, int(np.ceil(np.log(1 - plan.recall) / np.log(1 - together))))
+
+
 def _bucketed(items: DataFrame, n_items: int, n_dims: int, plan: Plan) -> DataFrame:
-    """`(bucket, id, prio, s0, s1)`: each item once per table, with its sketch."""
+    """`(bucket, id, s0, s1)`: each item once per table, with its sketch."""
     bits = max(0, min(28, round(np.log2(max(n_items, 1) / plan.bucket))))
+    tables = tables_for(bits, plan)
     rng = np.random.default_rng(plan.seed)
-    planes = rng.standard_normal((n_dims, 128 + plan.tables * bits)).astype(np.float32)
+    planes = rng.standard_normal((n_dims, 128 + tables * bits)).astype(np.float32)
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
             side = _matrix(b["v"]) @ planes > 0 if len(b) else np.zeros((0, planes.shape[1]), bool)
             sketch = np.packbits(side[:, :128], axis=1).view(np.int64)
-            for t in range(plan.tables):
+            for t in range(tables):
                 own = side[:, 128 + t * bits : 128 + (t + 1) * bits]
-                yield pd.DataFrame({"bucket": (np.int64(t) << 32) + own @ powers, "id": b["id"], "prio": b["prio"], "s0": sketch[:, 0], "s1": sketch[:, 1]})
+                yield pd.DataFrame({"bucket": (np.int64(t) << 32) + own @ powers, "id": b["id"], "s0": sketch[:, 0], "s1": sketch[:, 1]})
 
-    return items.select("id", "prio", "v").mapInPandas(put, "bucket long, id long, prio long, s0 long, s1 long")
+    return items.select("id", "v").mapInPandas(put, "bucket long, id long, s0 long, s1 long")
 
 
-_EDGE = "pivot boolean, bucket long, a long, b long, prio long, s0 long, s1 long"
+_EDGE = "pivot boolean, bucket long, a long, b long, s0 long, s1 long"
 
 
 def _local_pivots(plan: Plan, keep_salted: bool):
@@ -90,16 +107,16 @@ def _local_pivots(plan: Plan, keep_salted: bool):
     """
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, ids, sketches, prios = None, np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+        last, ids, sketches = None, np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
         hot_pivots: list[tuple] = []
 
         def close() -> None:
             if keep_salted and last is not None and last[1] >= 0:
-                hot_pivots.extend((int(last[0]), int(i), int(p), int(s), int(t)) for i, p, (s, t) in zip(ids, prios, sketches.view(np.int64)))
+                hot_pivots.extend((int(last[0]), int(i), int(s), int(t)) for i, (s, t) in zip(ids, sketches.view(np.int64)))
 
         for batch in batches:
             bucket, salt = batch["bucket"].to_numpy(), batch["salt"].to_numpy()
-            item, prio, sk = batch["id"].to_numpy(), batch["prio"].to_numpy(), np.ascontiguousarray(batch[["s0", "s1"]].to_numpy()).view(np.uint64)
+            item, sk = batch["id"].to_numpy(), np.ascontiguousarray(batch[["s0", "s1"]].to_numpy()).view(np.uint64)
             cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])) + 1
             out_a, out_b = [], []
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(bucket)]) if len(bucket) else ():
@@ -108,7 +125,7 @@ def _local_pivots(plan: Plan, keep_salted: bool):
                     key = (bucket[at], salt[at])
                     if key != last:
                         close()
-                        last, ids, sketches, prios = key, item[:0], sk[:0], prio[:0]
+                        last, ids, sketches = key, item[:0], sk[:0]
                     new, s = item[at:to], sk[at:to]
                     m = len(new)
                     apart = np.bitwise_count(s[:, None, 0] ^ s[None, :, 0]) + np.bitwise_count(s[:, None, 1] ^ s[None, :, 1])
@@ -127,11 +144,11 @@ def _local_pivots(plan: Plan, keep_salted: bool):
                     ok = ~held[j]
                     out_a.append(new[j[ok]])
                     out_b.append(new[i[ok]])
-                    ids, sketches, prios = np.r_[ids, new[~held]], np.concatenate([sketches, s[~held]]), np.r_[prios, prio[at:to][~held]]
+                    ids, sketches = np.r_[ids, new[~held]], np.concatenate([sketches, s[~held]])
             if out_a:
                 a, b = np.concatenate(out_a), np.concatenate(out_b)
                 ok = a != b
-                yield pd.DataFrame({"pivot": False, "bucket": 0, "a": a[ok], "b": b[ok], "prio": 0, "s0": 0, "s1": 0})
+                yield pd.DataFrame({"pivot": False, "bucket": 0, "a": a[ok], "b": b[ok], "s0": 0, "s1": 0})
             if len(hot_pivots) > 50_000:
                 yield _pivot_rows(hot_pivots)
                 hot_pivots.clear()
@@ -143,12 +160,13 @@ def _local_pivots(plan: Plan, keep_salted: bool):
 
 
 def _pivot_rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(True, b, i, 0, p, s, t) for b, i, p, s, t in rows], columns=["pivot", "bucket", "a", "b", "prio", "s0", "s1"])
+    return pd.DataFrame([(True, b, i, 0, s, t) for b, i, s, t in rows], columns=["pivot", "bucket", "a", "b", "s0", "s1"])
 
 
 def _streamed(rows: DataFrame) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", "prio", "id")
+    # the order follows from the id: it is taken after the shuffle, not carried through it
+    return rows.repartition(n, "bucket", "salt").withColumn("prio", _order("id")).sortWithinPartitions("bucket", "salt", "prio", "id")
 
 
 def candidate_edges(items: DataFrame, n_items: int, n_dims: int, plan: Plan) -> DataFrame:
@@ -161,7 +179,7 @@ def candidate_edges(items: DataFrame, n_items: int, n_dims: int, plan: Plan) ->
         parts = F.ceil(F.col("count") / plan.hot).cast("int")
         salted = rows.join(hot, "bucket", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), parts).cast("int"), F.lit(-1)))
         first = cut(_streamed(salted.select(*rows.columns, "salt")).mapInPandas(_local_pivots(plan, True), _EDGE), "edges")
-        pivots = first.where("pivot").select("bucket", F.lit(-1).alias("salt"), F.col("a").alias("id"), "prio", "s0", "s1")
+        pivots = first.where("pivot").select("bucket", F.lit(-1).alias("salt"), F.col("a").alias("id"), "s0", "s1")
         second = cut(_streamed(pivots).mapInPandas(_local_pivots(plan, False), _EDGE), "edges")
         # items meet the other parts' pivots through their own part's
         through = first.where("not pivot").select("a", "b").join(second.select(F.col("a").alias("c"), F.col("b").alias("a")), "a")

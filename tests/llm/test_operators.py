@@ -102,6 +102,20 @@ def test_recall_at_the_boundary(spark):
     assert len(true) > 100 and len(got & true) >= 0.9 * len(true)
 
 
+@pytest.mark.parametrize("bits", [10, 13])
+def test_recall_with_the_bits_of_large_tables(spark, bits):
+    """Isolated pairs at the distance itself: the tables grow with the hyperplanes."""
+    rng = np.random.default_rng(bits)
+    u, w = rng.standard_normal((2, 2048, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(1, keepdims=True) * u
+    x = np.concatenate([u, 0.8801 * u + math.sqrt(1 - 0.8801**2) * w / np.linalg.norm(w, axis=1, keepdims=True)])
+    plan = clusters.Plan(bucket=len(x) / 2**bits)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<float>")
+    edges = {frozenset((r.a, r.b)) for r in clusters.cluster(df, plan).edges.collect()}
+    assert sum(frozenset((i, i + 2048)) in edges for i in range(2048)) >= 0.97 * 2048
+
+
 def test_clusters_of_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, vec array<float>")
