@@ -3,8 +3,9 @@
 Method: the distinct values of each slot are normalised (encoding repaired, accents folded,
 shares, codes, counts and remarks left out), candidates are retrieved from an inverted index of
 character n-grams over the entries' forms, scored by weighted cosine, and accepted above a
-threshold with a margin over the next entry. The best candidates' edit distance then checks short
-words, where few n-grams survive a typing error.
+threshold with a margin over the next entry. The edit distance makes up half of the score, for
+short words, where few n-grams survive a typing error. It is taken in the order of an upper bound of
+the score, until no form left can change the outcome, so the result is that of ranking every form.
 """
 
 from __future__ import annotations
@@ -96,15 +97,19 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
+def _letters(text: str) -> np.ndarray:
+    """How often each sign of a folded text but the blank occurs."""
+    return np.bincount(np.frombuffer(text.replace(" ", "").encode("ascii"), np.uint8), minlength=128).astype(np.int32)
+
+
 class Index:
     """Inverted n-gram index over the forms of one slot's entries."""
 
-    #: The best forms by cosine whose edit distance is taken; it decides between them only.
-    CANDIDATES = 5
-
     def __init__(self, forms: list[tuple[int, str]]):
         self.refs = np.array([r for r, _ in forms])
         self.forms = [_fold(f) for _, f in forms]
+        self.letters = np.stack([_letters(f) for f in self.forms])
+        self.lengths = np.array([len(f) for f in self.forms])
         self.exact = {f: r for r, f in sorted(zip((r for r, _ in forms), self.forms), reverse=True)}
         self.known: dict[str, tuple[int, float]] = {}
         bags = [grams(f) for f in self.forms]
@@ -155,8 +160,14 @@ class Index:
         score = self.cosines(text)
         plain, turned = text.replace(" ", ""), "".join(sorted(text.split()))
         best: dict[int, tuple[float, bool]] = {}
-        top = np.argsort(-score, kind="stable")[: self.CANDIDATES]
-        for i in top[score[top] >= 0.5 * score[top[0]]]:
+        # letters that only one of two texts has must be inserted, deleted or replaced
+        more = _letters(text) - self.letters
+        fewest = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+        bound = 0.5 * score + 0.5 * (1 - fewest / np.maximum(len(plain), self.lengths)) + 1e-9
+        first = 0.0
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < first - margin:
+                break
             form, ref = self.forms[i], int(self.refs[i])
             d = edits(plain, form.replace(" ", ""))
             if " " in text and " " in form:
@@ -164,6 +175,7 @@ class Index:
             length = max(len(plain), len(form))
             near = d <= 1 if length < 7 else d <= 2
             best[ref] = max(best.get(ref, (0.0, False)), (0.5 * float(score[i]) + 0.5 * (1 - d / length), near and len(plain) > 1))
+            first = max(first, best[ref][0])
         ranked = sorted(best.items(), key=lambda x: (-x[1][0], x[0]))
         (ref, (first, near)), second = ranked[0], ranked[1][1][0] if len(ranked) > 1 else 0.0
         return (ref, first) if (first >= threshold or near) and first - second >= margin else (0, first)
