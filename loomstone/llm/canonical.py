@@ -181,7 +181,8 @@ class Index:
         return (ref, first) if (first >= threshold or near) and first - second >= margin else (0, first)
 
 
-THRESHOLD, MARGIN = 0.58, 0.0
+#: The margin was chosen on typos made of the reference list's forms, and tried on others.
+THRESHOLD, MARGIN = 0.58, 0.01
 
 
 def match_values(values: DataFrame, reference: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
@@ -189,7 +190,8 @@ def match_values(values: DataFrame, reference: DataFrame, threshold: float = THR
 
     `values` has `(slot, value)` and may repeat; `reference` has `(ref_id, slot, form)`: its size
     is checked before it is shared, at most 100,000 forms. Null values are left out; a value of
-    an unknown slot, or of letters unlike every form, gets `ref_id` 0. Ties go to the lesser id.
+    an unknown slot, of letters unlike every form, or about as close to a second entry as to the
+    first, gets `ref_id` 0. A form of several entries means the one with the lesser id.
     """
     forms = reference.select("ref_id", "slot", "form").where("form is not null").distinct().limit(100_001).collect()
     if len(forms) > 100_000:

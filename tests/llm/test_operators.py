@@ -193,6 +193,12 @@ def test_canonical_terms(spark):
     assert canonical.match_values(spark.createDataFrame(rows, "slot string, value string"), ref.limit(0)).where("ref_id <> 0").count() == 0
 
 
+def test_a_value_between_two_entries_is_unmatched(spark):
+    ref = spark.createDataFrame([(1, "m", "bata"), (2, "m", "bada")], "ref_id long, slot string, form string")
+    values = spark.createDataFrame([("m", "baxa"), ("m", "batta")], "slot string, value string")
+    assert {r.value: r.ref_id for r in canonical.match_values(values, ref).collect()} == {"baxa": 0, "batta": 1}
+
+
 def test_every_form_is_ranked(spark, small):
     """Short values with swapped or missing letters share few n-grams with the entry they mean."""
     rows = spark.read.parquet(f"{small}/canonical_term.parquet").where("slot = 'colors'").collect()
