@@ -6,7 +6,8 @@ pages (which bytes were written, which letters they were read as), once or sever
 Expectation-maximisation learns, for each source, how probable each swap is and which letter each
 unit stands for, against a letter n-gram model of the collection's own text; the model is counted
 anew from what the E-step holds to be sound. A unit stays as it is unless some reading of it is
-far more probable in its context. Restoring applies the learnt mapping with translate().
+far more probable in its context. Units that no listed pair of code pages explains get a letter
+of their own, learnt per source by EM from their contexts alone. Restoring applies the learnt mapping with translate().
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ PLAIN = "àáâäãèéêëìíîïòóôöùúûüçñßœæÀÁÂÄÈÉÊËÌ
 _PLAIN = frozenset(PLAIN + " ")
 _LETTERS = frozenset(c for c in PLAIN if c.isalpha())
 LOST = "�"
+#: The name of the swap by which a unit's own letter was learnt.
+LEARNT = "learnt"
 #: The code pages that UTF-8 was read as, and pairs (written, read) of one-byte code pages.
 READ_AS = ("cp1252", "cp1250", "cp437", "cp850", "mac_roman", "cp1251", "iso8859_2", "iso8859_15")
 SWAPS = (
@@ -86,19 +89,29 @@ def _utf8_once(run: str, page: str) -> str | None:
     return "".join([*out, run[at:]]) if hit else None
 
 
+def _foreign(plain: str) -> bool:
+    """Whether a run is of letters that other languages write: further Latin ones, or at least two Greek or Cyrillic ones."""
+    other = [c for c in plain if c not in _PLAIN and ord(c) > 0x7F]
+    script = [c for c in other if "Ͱ" <= c <= "ӿ"]
+    return all(c.isalpha() and ("À" <= c <= "ſ" or c in script) for c in other) and len(script) != 1
+
+
 @lru_cache(maxsize=200_000)
 def readings(run: str) -> tuple[tuple[str, str], ...]:
     """`(swap, plain)` for every swap that could have made the run of sound letters."""
-    found = {}
+    found, foreign = {}, {}
     for page in READ_AS:
         plain = run
         for times in (1, 2, 3):
-            plain = _utf8_once(plain, page)
+            before, plain = plain, _utf8_once(plain, page)
             if plain is None:
+                if times > 1 and _foreign(before):
+                    foreign.setdefault(before, f"utf-8>{page}x{times - 1}")
                 break
             if all(c in _PLAIN or ord(c) < 0x80 for c in plain):
                 found.setdefault(plain, f"utf-8>{page}x{times}")
                 break
+    found = found or foreign
     for swap in SWAPS:
         table = _letters_of(swap)
         if any(ord(c) in table for c in run):
@@ -155,6 +168,8 @@ class Cipher:
     sound: float = 0.9
     #: A reading must be this probable.
     least: float = 0.5
+    #: By source, the letter learnt for each unit that no listed swap explains, and its probability.
+    units: dict[str, dict[str, tuple[str, float]]] = field(default_factory=dict)
 
     def posterior(self, source: str, left: str, run: str, right: str, sound: float | None = None, only: frozenset[str] | None = None) -> tuple[str | None, float, str]:
         """The best reading of a run, or None, the probability that the run is garbled, and the swap.
@@ -164,7 +179,10 @@ class Cipher:
         sound = self.sound if sound is None else sound
         options = [o for o in readings(run) if only is None or o[0] in only]
         if not options:
-            return None, 0.0, ""
+            letter, p = self.units.get(source, {}).get(run, (None, 0.0))
+            if letter is None or only is not None and LEARNT not in only:
+                return None, 0.0, ""
+            return (letter.upper() if (left[-1] + right[:1]).strip().isupper() else letter), p, LEARNT
         swaps = self.swaps.get(source, {})
         base = self.letters.cost(left, run, right)
         weights = []
@@ -205,6 +223,68 @@ def context_counts(texts: DataFrame) -> DataFrame:
 MODEL_CONTEXTS = 20_000
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """When a unit's own letter is believed: contexts it has, the letter's share, and its contexts that sound text has."""
+
+    contexts: int = 5
+    share: float = 0.8
+    known: float = 0.8
+    longest: int = 3
+    units: int = 20_000
+
+
+def learn_units(counts: DataFrame, letters: Letters, rounds: int = 3, bounds: Bounds = Bounds()) -> dict[str, dict[str, tuple[str, float]]]:
+    """By source, `{unit: (letter, probability)}` for units within words that no listed swap explains.
+
+    E-step: each context of a unit is shared among the letters by the unit's letter probabilities
+    and the letter model of sound text. M-step: the shares' sums are the new probabilities, which
+    begin equal. At most `bounds.units` letters of units, those with the most contexts, reach the driver.
+    """
+    plain = sorted({c.lower() for c in _LETTERS})
+    found: dict[tuple[str, str], dict[str, tuple[float, float]]] = {}
+    for _ in range(rounds):
+        chances = {k: {c: w / sum(x for x, _ in own.values()) for c, (w, _) in own.items()} for k, own in found.items()}
+        shared = counts.sparkSession.sparkContext.broadcast((letters, chances))
+
+        def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            (letters, chances), sums = shared.value, {}
+            for b in batches:
+                for source, left, run, right, _ in b.itertuples(index=False):
+                    if len(run) > bounds.longest or LOST in run or all(c in _PLAIN for c in run) or readings(run):
+                        continue
+                    if not (left[-1].isalpha() or right[:1].isalpha()):
+                        continue
+                    own = chances.get((source, run))
+                    if chances and own is None:
+                        continue
+                    weights = {c: (own.get(c, 1e-6) if own else 1.0) * math.exp(-letters.cost(left, c, right)) for c in plain}
+                    whole = sum(weights.values())
+                    for c, w in weights.items():
+                        if w > 1e-3 * whole:
+                            at = sums.setdefault((source, run, c), [0.0, 0.0])
+                            at[0] += w / whole
+                            at[1] += w / whole * (letters.counts[2][(left[-1] + c + right[:1]).lower()] > 0)
+            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["source", "unit", "letter", "w", "known"])
+
+        parts = counts.mapInPandas(expect, "source string, unit string, letter string, w double, known double")
+        parts = parts.groupBy("source", "unit", "letter").agg(F.sum("w").alias("w"), F.sum("known").alias("known"))
+        enough = parts.groupBy("source", "unit").agg(F.sum("w").alias("all")).where(F.col("all") >= bounds.contexts - 1e-6)
+        found = {}
+        for r in parts.join(enough, ["source", "unit"]).orderBy(F.desc("all"), "source", "unit", F.desc("w"), "letter").limit(bounds.units).collect():
+            found.setdefault((r["source"], r["unit"]), {})[r["letter"]] = (r["w"], r["known"])
+        if not found:
+            break
+    out: dict[str, dict[str, tuple[str, float]]] = {}
+    for (source, unit), own in found.items():
+        letter = max(own, key=lambda c: own[c][0])
+        w, known = own[letter]
+        share = w / sum(x for x, _ in own.values())
+        if share >= bounds.share and known >= bounds.known * w:
+            out.setdefault(source, {})[unit] = (letter, share)
+    return out
+
+
 def learn(counts: DataFrame, rounds: int = 3) -> Cipher:
     """Expectation-maximisation over context counts.
 
@@ -216,7 +296,8 @@ def learn(counts: DataFrame, rounds: int = 3) -> Cipher:
     for _, left, run, right, n in top:
         if all(c in _PLAIN for c in run):
             letters.add(left, run, right, n)
-    cipher = Cipher({}, letters)
+    units = learn_units(counts, letters)
+    cipher = Cipher({}, letters, units=units)
     for _ in range(rounds):
         shared = counts.sparkSession.sparkContext.broadcast(cipher)
 
@@ -225,7 +306,7 @@ def learn(counts: DataFrame, rounds: int = 3) -> Cipher:
             for b in batches:
                 for source, left, run, right, n in b.itertuples(index=False):
                     _, p, swap = cipher.posterior(source, left, run, right)
-                    if p > 0.5:
+                    if p > 0.5 and swap != LEARNT:
                         sums[(source, swap)] += n * p
             yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["source", "swap", "w"])
 
@@ -239,7 +320,7 @@ def learn(counts: DataFrame, rounds: int = 3) -> Cipher:
             plain, p, _ = cipher.posterior(source, left, run, right)
             if LOST not in run:
                 fresh.add(left, plain if p > 0.5 else run, right, n)
-        cipher = Cipher(swaps, fresh)
+        cipher = Cipher(swaps, fresh, units=units)
     return cipher
 
 

@@ -257,6 +257,28 @@ def test_encoding_round_trip(spark, written, read):
     assert not got[904].restorable
 
 
+def test_garbled_words_of_other_languages(spark):
+    rows = [(i, "s", t) for i, t in enumerate(SOUND * 30)] + [(900, "s", "COLEÇÃO VERÃO, выставка, ζώνη")]
+    bad = {1000: ("la COLEÇÃO VERÃO", "latin-1"), 1001: ("la ζώνη μεταξωτή", "latin-1"), 1002: ("la выставка", "latin-1")}
+    rows += [(i, "s", _garble(t, "utf-8", page)) for i, (t, page) in bad.items()]
+    df = spark.createDataFrame(rows, "id long, source string, text string")
+    got = {r.id: r.restored for r in encoding.restore(df, encoding.learn(encoding.context_counts(df)), "id").collect()}
+    assert got == {i: t for i, (t, _) in bad.items()}
+
+
+def test_letters_of_an_unlisted_swap_are_learnt(spark):
+    """UTF-8 read as KOI8-R, which is no listed page; words of other scripts stay as they are."""
+    words = "défilé légende dévorée écharpe décor étole brodée plissée coupée fermée réseau crépon".split()
+    rows = [(i, "s", f"la {w} noire {i}") for i, w in enumerate(words * 8)]
+    bad = {1000 + i: w for i, w in enumerate(words)}
+    rows += [(i, "s", f"la {_garble(w, 'utf-8', 'koi8_r')} noire") for i, w in bad.items()]
+    rows += [(2000 + i, "s", f"«{w}»") for i, w in enumerate("выставка платье łódź złoty ζώνη φόρεμα szőlő nyelvű".split())]
+    df = spark.createDataFrame(rows, "id long, source string, text string")
+    cipher = encoding.learn(encoding.context_counts(df))
+    got = {r.id: r.restored for r in encoding.restore(df, cipher, "id").collect()}
+    assert got == {i: f"la {w} noire" for i, w in bad.items()}
+
+
 @given(st.lists(st.integers(0, 100), max_size=60))
 @settings(max_examples=80, deadline=None)
 def test_first_fit_equals_the_plain_one(sizes):
