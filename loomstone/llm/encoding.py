@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The letters and signs that sound text in the five languages is made of.
@@ -288,10 +288,11 @@ def learn_units(counts: DataFrame, letters: Letters, rounds: int = 3, bounds: Bo
 def learn(counts: DataFrame, rounds: int = 3) -> Cipher:
     """Expectation-maximisation over context counts.
 
-    What reaches the driver is bounded: the most frequent `MODEL_CONTEXTS` contexts for the letter
-    model, and one sum per source and swap in each round.
+    What reaches the driver is bounded: each source's most frequent `MODEL_CONTEXTS` contexts for the
+    letter model, and one sum per source and swap in each round.
     """
-    top = [tuple(r) for r in counts.orderBy(F.desc("n"), "source", "lft", "run", "rgt").limit(MODEL_CONTEXTS).collect()]
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "lft", "run", "rgt")))
+    top = [tuple(r) for r in ranked.where(F.col("r") <= MODEL_CONTEXTS).drop("r").collect()]
     letters = Letters()
     for _, left, run, right, n in top:
         if all(c in _PLAIN for c in run):

@@ -257,6 +257,13 @@ def test_encoding_round_trip(spark, written, read):
     assert not got[904].restorable
 
 
+def test_letter_model_covers_small_sources(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "MODEL_CONTEXTS", 2)
+    rows = [("large", "ca", x, "t ", 100) for x in "éèà"] + [("small", "zo", "ù", "k ", 1)]
+    cipher = encoding.learn(spark.createDataFrame(rows, "source string, lft string, run string, rgt string, n long"))
+    assert cipher.letters.counts[0]["ù"] == 1
+
+
 def test_garbled_words_of_other_languages(spark):
     rows = [(i, "s", t) for i, t in enumerate(SOUND * 30)] + [(900, "s", "COLEÇÃO VERÃO, выставка, ζώνη")]
     bad = {1000: ("la COLEÇÃO VERÃO", "latin-1"), 1001: ("la ζώνη μεταξωτή", "latin-1"), 1002: ("la выставка", "latin-1")}
