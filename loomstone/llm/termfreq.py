@@ -63,8 +63,27 @@ class SuffixArray:
         new = np.r_[True, self.rank[o][1:] != self.rank[o][:-1]]
         return o, new, np.r_[False, ~new[1:] & (self.record[o][1:] == self.record[o][:-1])]
 
-    def ngrams(self, longest: int) -> Iterator[tuple[int, str, int, int]]:
+    def ngrams(self, longest: int | None) -> Iterator[tuple[int, str, int, int]]:
         """`(n, gram, occurrences, records)` of all n-grams of words that stay within a term."""
+        for k, p, new, again in self._grams(longest):
+            at = np.flatnonzero(new)
+            count = np.diff(np.r_[at, len(p)])
+            for i, c, r in zip(p[at], count, np.add.reduceat(again, at, dtype=np.int64)):
+                yield k, self._gram(i, k), int(c), int(c - r)
+
+    def gram_records(self, longest: int | None) -> Iterator[tuple[int, str, int, int]]:
+        """`(n, gram, record, occurrences)` of all n-grams of each record."""
+        for k, p, _, again in self._grams(longest):
+            at = np.flatnonzero(~again)
+            for i, c in zip(p[at], np.diff(np.r_[at, len(p)])):
+                yield k, self._gram(i, k), int(self.record[i]), int(c)
+
+    def _gram(self, at: int, n: int) -> str:
+        return " ".join(self.vocabulary[self.symbols[at : at + n] - 1])
+
+    def _grams(self, longest: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each length, up to the longest term's without a limit: suffixes by gram and record; which differ from the one before; which repeat it in one record."""
+        longest = int((self.stop - np.arange(len(self.stop))).max()) - 1 if longest is None else longest
         n = len(self.symbols)
         o = self.order
         common = np.zeros(n, np.int64)  # common prefix with the suffix before, as far as needed
@@ -84,10 +103,7 @@ class SuffixArray:
             p, g = p[by], g[by]
             new = np.r_[True, g[1:] != g[:-1]]
             again = np.r_[False, ~new[1:] & (self.record[p][1:] == self.record[p][:-1])]
-            at = np.flatnonzero(new)
-            count = np.diff(np.r_[at, len(p)])
-            for i, c, r in zip(p[at], count, np.add.reduceat(again, at, dtype=np.int64)):
-                yield k, " ".join(self.vocabulary[self.symbols[i : i + k] - 1]), int(c), int(c - r)
+            yield k, p, new, again
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, SuffixArray, np.ndarray]]:
@@ -129,15 +145,26 @@ def term_counts(rows: DataFrame, *, whole_records: bool) -> DataFrame:
     return counted.groupBy("field_name", "term").agg(F.sum("n").alias("n_occurrences"), F.sum("r").cast("long").alias("n_records"))
 
 
-def ngram_counts(rows: DataFrame, longest: int) -> DataFrame:
-    """`(field_name, n, gram, n_occurrences, n_records)` of all n-grams of words within terms, for whole records."""
+def ngram_counts(rows: DataFrame, longest: int | None = None, *, whole_records: bool = True) -> DataFrame:
+    """`(field_name, n, gram, n_occurrences, n_records)` of all n-grams of words within terms, `rows` as in term_counts()."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for field, sa, _ in _blocks(batches):
             found = list(sa.ngrams(longest))
             yield pd.DataFrame(found, columns=["n", "gram", "o", "r"]).assign(field_name=field)[["field_name", "n", "gram", "o", "r"]]
 
-    counted = rows.where(F.size("terms") > 0).mapInPandas(count, "field_name string, n int, gram string, o long, r long")
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for field, sa, keys in _blocks(batches):
+            found = pd.DataFrame(list(sa.gram_records(longest)), columns=["n", "gram", "record", "o"]).assign(field_name=field)
+            found["record"] = keys[found["record"].to_numpy(np.int64)]
+            yield found[["field_name", "n", "gram", "record", "o"]]
+
+    rows = rows.where(F.size("terms") > 0)
+    if whole_records:
+        counted = rows.mapInPandas(count, "field_name string, n int, gram string, o long, r long")
+    else:
+        counted = rows.mapInPandas(parts, f"field_name string, n int, gram string, record {dict(rows.dtypes)['record']}, o long")
+        counted = counted.groupBy("field_name", "n", "gram", "record").agg(F.sum("o").alias("o")).withColumn("r", F.lit(1).cast("long"))
     return counted.groupBy("field_name", "n", "gram").agg(F.sum("o").alias("n_occurrences"), F.sum("r").alias("n_records"))
 
 

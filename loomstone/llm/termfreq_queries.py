@@ -41,8 +41,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N-grams of up to three words within tags."""
-    return ngram_counts(_tag_rows(spark, sf_dir), 3)
+    """All n-grams of words within tags and keywords."""
+    keywords = ngram_counts(_keyword_rows(spark, sf_dir), whole_records=False)
+    return ngram_counts(_tag_rows(spark, sf_dir)).unionByName(keywords)
 
 
 QUERIES = {"p5_found": p5_found, "p5_terms": p5_terms, "p5_ngrams": p5_ngrams}

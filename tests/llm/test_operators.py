@@ -180,6 +180,13 @@ def test_terms_of_one_record_in_many_rows(spark):
     assert got == {"a": (51, 2), "b b": (1, 1)}
 
 
+def test_ngrams_of_one_record_in_many_rows(spark):
+    rows = [("f", "r1", ["a b c d"])] * 50 + [("f", "r2", ["b c"]), ("f", "r2", ["x b c"]), ("f", "r3", [])]
+    df = spark.createDataFrame(rows, "field_name string, record string, terms array<string>").repartition(4)
+    got = {r.gram: (r.n, r.n_occurrences, r.n_records) for r in termfreq.ngram_counts(df, whole_records=False).collect()}
+    assert got["b c"] == (2, 52, 2) and got["a b c d"] == (4, 50, 1) and got["x"] == (1, 1, 1) and len(got) == 13
+
+
 REFERENCE = [(1, "m", "silk"), (1, "m", "seta"), (2, "m", "wool"), (2, "m", "lana"), (3, "m", "crêpe de Chine"), (4, "m", "lamé"), (5, "m", "patent leather"), (6, "m", "leather")]
 TYPED = {"Silk": 1, "slk": 1, "seta 43,5%": 1, "fodera: lanna": 2, "crÃªpe de Chine (col. 7)": 3, "crepe de chien": 3, "LAMÃ©": 4, "patentleather": 5, "leather patent": 5, "pate.": 5, "thin cork": 0, "???": 0, "broken mirror": 0}
 
