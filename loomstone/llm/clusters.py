@@ -1,13 +1,13 @@
 """Clusters of items with mutually similar vectors.
 
 Method: parallel pivot correlation clustering. Items are ordered by a hash. Random hyperplanes put
-items into buckets of several tables; within a bucket, in hash order, an item is compared by a
-128-bit sketch with the bucket's local pivots only and becomes one itself unless it is very close
-to one, so a bucket of any size yields about one edge per item, never all pairs. Edges are checked
-against the vectors. In rounds, items that precede all their undecided neighbours become pivots
-and absorb these; then each member joins its closest pivot, and medoids are computed from the
-clusters' vector sums. Hot buckets are salted: each part finds its local pivots, and the parts'
-pivots are compared in a second pass.
+items into buckets of several tables; within a bucket, in hash order, an item is compared with the
+bucket's local pivots only and becomes one itself unless it is very close to one, so that a dense
+group of any size yields about one edge per item, never all pairs. Vectors are compared as codes
+of one byte per component. In rounds, items that precede all their undecided neighbours become
+pivots and absorb these; then each member joins its closest pivot, and medoids are computed from
+the clusters' vector sums. Large buckets are salted: each part finds its local pivots, and then
+every item of the bucket meets the local pivots of the other parts, so nothing is left uncompared.
 """
 
 from __future__ import annotations
@@ -28,17 +28,16 @@ class Plan:
     """Parameters. `bucket` is the mean bucket size the number of hyperplanes is chosen for.
 
     There are so many tables that a pair at the distance itself shares a bucket with probability
-    `recall`, and `tables` at least.
+    `recall`. An item within `same` of a local pivot doesn't become one. `slack` is what the
+    codes' distance may be off by; `part` is how many items of a bucket one task compares.
     """
 
     distance: float = 0.12
     recall: float = 0.98
-    tables: int = 16
-    bucket: float = 256
-    hot: int = 20_000
-    same_bits: int = 12
-    near_bits: int = 42
-    slack: float = 0.003
+    bucket: float = 4096
+    part: int = 50_000
+    same: float = 0.02
+    slack: float = 0.006
     block: int = 1500
     seed: int = 11
 
@@ -55,156 +54,196 @@ def _order(id_column: str) -> Column:
     return F.xxhash64(F.lit("pivot"), F.col(id_column))
 
 
-def prepared(items: DataFrame, n_dims: int) -> DataFrame:
-    """`(id, prio, v)` of `(id, vec)`: hash order and the unit vector in half precision, as bytes."""
+def codes_of(x: np.ndarray) -> np.ndarray:
+    """Each row's direction in one byte per component."""
+    return np.rint(x * (127 / np.abs(x).max(1, keepdims=True).clip(1e-300))).astype(np.int8)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.stack(b["vec"].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, n_dims))
-            x /= np.linalg.norm(x, axis=1, keepdims=True).clip(1e-300)
-            yield pd.DataFrame({"id": b["id"], "prio": b["prio"], "v": [r.tobytes() for r in x.astype(np.float16)]})
 
-    right = items.where(F.size("vec") == n_dims).select("id", _order("id").alias("prio"), "vec")
-    return right.mapInPandas(pack, "id long, prio long, v binary")
+def _units(codes: np.ndarray) -> np.ndarray:
+    x = codes.astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True).clip(1e-30)
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), np.float16).reshape(len(vectors), -1).astype(np.float32)
+def bits_for(n_items: int, plan: Plan) -> int:
+    """The number of hyperplanes per table."""
+    return max(0, min(28, round(np.log2(max(n_items, 1) / plan.bucket))))
 
 
 def tables_for(bits: int, plan: Plan) -> int:
     """The number of tables of so many hyperplanes that reaches the plan's recall at its distance."""
     together = (1 - np.arccos(1 - plan.distance) / np.pi) ** bits
-    return plan.tables if together >= 1 else max(plan.tables, int(np.ceil(np.log(1 - plan.recall) / np.log(1 - together))))
+    return 1 if together >= 1 else int(np.ceil(np.log(1 - plan.recall) / np.log(1 - together)))
 
 
 def _bucketed(items: DataFrame, n_items: int, n_dims: int, plan: Plan) -> DataFrame:
-    """`(bucket, id, s0, s1)`: each item once per table, with its sketch."""
-    bits = max(0, min(28, round(np.log2(max(n_items, 1) / plan.bucket))))
+    """`(bucket, id, code)`: each item of `(id, vec)` once per table."""
+    bits = bits_for(n_items, plan)
     tables = tables_for(bits, plan)
-    rng = np.random.default_rng(plan.seed)
-    planes = rng.standard_normal((n_dims, 128 + tables * bits)).astype(np.float32)
+    planes = np.random.default_rng(plan.seed).standard_normal((n_dims, tables * bits)).astype(np.float32)
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
-            side = _matrix(b["v"]) @ planes > 0 if len(b) else np.zeros((0, planes.shape[1]), bool)
-            sketch = np.packbits(side[:, :128], axis=1).view(np.int64)
+            if not len(b):
+                continue
+            codes = codes_of(np.stack(b["vec"].to_numpy()).astype(np.float64))
+            side, rows = codes.astype(np.float32) @ planes > 0, [r.tobytes() for r in codes]
             for t in range(tables):
-                own = side[:, 128 + t * bits : 128 + (t + 1) * bits]
-                yield pd.DataFrame({"bucket": (np.int64(t) << 32) + own @ powers, "id": b["id"], "s0": sketch[:, 0], "s1": sketch[:, 1]})
+                yield pd.DataFrame({"bucket": (np.int64(t) << 32) + side[:, t * bits : (t + 1) * bits] @ powers, "id": b["id"], "code": rows})
 
-    return items.select("id", "v").mapInPandas(put, "bucket long, id long, s0 long, s1 long")
+    return items.select("id", "vec").mapInPandas(put, "bucket long, id long, code binary")
 
 
-_EDGE = "pivot boolean, bucket long, a long, b long, s0 long, s1 long"
+def _matrix(codes: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1)
 
 
-def _local_pivots(plan: Plan, keep_salted: bool):
-    """Edges `(a, b)` from each item b of a sorted stream to the local pivots a of its bucket that look similar.
+_EDGE = "a long, b long, d float, bucket long, code binary"
+_CHUNK, _WIDE = 1024, 4096
 
-    With `keep_salted` the local pivots of salted buckets are passed on too.
-    """
 
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, ids, sketches = None, np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
-        hot_pivots: list[tuple] = []
+def _slices(b: pd.DataFrame, *keys: str) -> Iterator[tuple[tuple, int, int]]:
+    """The groups of a sorted batch in pieces of at most `_CHUNK` rows: key, begin, end."""
+    columns = [b[k].to_numpy() for k in keys]
+    new = np.zeros(len(b), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    at = np.r_[0, np.flatnonzero(new), len(b)]
+    for lo, hi in zip(at[:-1], at[1:]):
+        for k in range(lo, hi, _CHUNK):
+            yield tuple(int(c[lo]) for c in columns), k, min(hi, k + _CHUNK)
+
+
+class _Held:
+    """Vectors kept to be compared with, in one growing array of codes."""
+
+    def __init__(self):
+        self.n, self.ids, self.codes = 0, np.zeros(0, np.int64), np.zeros((0, 0), np.int8)
+
+    def clear(self) -> None:
+        self.n = 0
+
+    def add(self, ids: np.ndarray, codes: np.ndarray) -> None:
+        n = self.n + len(ids)
+        if n > len(self.ids) or self.codes.shape[1] != codes.shape[1]:
+            size = max(1024, 2 * n)
+            more_ids, more_codes = np.zeros(size, np.int64), np.zeros((size, codes.shape[1]), np.int8)
+            more_ids[: self.n] = self.ids[: self.n]
+            if self.n:
+                more_codes[: self.n] = self.codes[: self.n]
+            self.ids, self.codes = more_ids, more_codes
+        self.ids[self.n : n], self.codes[self.n : n] = ids, codes
+        self.n = n
+
+    def near(self, x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """`(row of x, id, product)` of what has at least that product, block by block."""
+        for k in range(0, self.n, _WIDE):
+            to = min(self.n, k + _WIDE)
+            product = x @ _units(self.codes[k:to]).T
+            r, c = np.divmod(np.flatnonzero(product >= least), to - k)
+            yield r, self.ids[k:to][c], product[r, c]
+
+
+def _frame(a: list, b: list, d: list) -> Iterator[pd.DataFrame]:
+    if a:
+        yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "d": (1 - np.concatenate(d)).clip(0).astype(np.float32), "bucket": -1, "code": None})
+
 
-        def close() -> None:
-            if keep_salted and last is not None and last[1] >= 0:
-                hot_pivots.extend((int(last[0]), int(i), int(s), int(t)) for i, (s, t) in zip(ids, sketches.view(np.int64)))
+def _local_pivots(plan: Plan):
+    """Edges `(a, b, d)` from each item b of a sorted stream to the local pivots a of its part of a bucket.
 
+    The local pivots of salted buckets are passed on with their bucket: a is the item, b its part.
+    """
+    least, same = 1 - plan.distance - plan.slack, 1 - plan.same
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, _Held()
         for batch in batches:
-            bucket, salt = batch["bucket"].to_numpy(), batch["salt"].to_numpy()
-            item, sk = batch["id"].to_numpy(), np.ascontiguousarray(batch[["s0", "s1"]].to_numpy()).view(np.uint64)
-            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])) + 1
-            out_a, out_b = [], []
-            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(bucket)]) if len(bucket) else ():
-                for at in range(lo, hi, 1024):
-                    to = min(hi, at + 1024)
-                    key = (bucket[at], salt[at])
-                    if key != last:
-                        close()
-                        last, ids, sketches = key, item[:0], sk[:0]
-                    new, s = item[at:to], sk[at:to]
-                    m = len(new)
-                    apart = np.bitwise_count(s[:, None, 0] ^ s[None, :, 0]) + np.bitwise_count(s[:, None, 1] ^ s[None, :, 1])
-                    i, j = np.nonzero(np.tril(apart <= plan.near_bits, -1))
-                    held = np.zeros(m, bool)  # very close to a local pivot
-                    if len(ids):
-                        old = np.bitwise_count(s[:, None, 0] ^ sketches[None, :, 0]) + np.bitwise_count(s[:, None, 1] ^ sketches[None, :, 1])
-                        r, c = np.nonzero(old <= plan.near_bits)
-                        out_a.append(ids[c])
-                        out_b.append(new[r])
-                        held = (old <= plan.same_bits).any(1)
-                    close_by = apart[i, j] <= plan.same_bits
-                    for x, y in zip(i[close_by], j[close_by]):  # row by row, in hash order
-                        if not held[y]:
-                            held[x] = True
-                    ok = ~held[j]
-                    out_a.append(new[j[ok]])
-                    out_b.append(new[i[ok]])
-                    ids, sketches = np.r_[ids, new[~held]], np.concatenate([sketches, s[~held]])
-            if out_a:
-                a, b = np.concatenate(out_a), np.concatenate(out_b)
-                ok = a != b
-                yield pd.DataFrame({"pivot": False, "bucket": 0, "a": a[ok], "b": b[ok], "s0": 0, "s1": 0})
-            if len(hot_pivots) > 50_000:
-                yield _pivot_rows(hot_pivots)
-                hot_pivots.clear()
-        close()
-        if hot_pivots:
-            yield _pivot_rows(hot_pivots)
+            if not len(batch):
+                continue
+            item, codes = batch["id"].to_numpy(), _matrix(batch["code"])
+            out_a, out_b, out_d = [], [], []
+            for key, at, to in _slices(batch, "bucket", "salt"):
+                if key != last:
+                    last = key
+                    held.clear()
+                new, x = item[at:to], _units(codes[at:to])
+                close = np.zeros(len(new), bool)
+                for r, ids, product in held.near(x, least):
+                    out_a.append(ids)
+                    out_b.append(new[r])
+                    out_d.append(product)
+                    close[r[product >= same]] = True
+                own = np.tril(x @ x.T, -1)
+                equal = own >= same
+                for k in np.flatnonzero(equal.any(1) & ~close):  # row by row, in hash order
+                    close[k] = (equal[k, :k] & ~close[:k]).any()
+                i, j = np.nonzero((own >= least) & ~close)
+                out_a.append(new[j])
+                out_b.append(new[i])
+                out_d.append(own[i, j])
+                pivots = np.flatnonzero(~close)
+                held.add(new[pivots], codes[at:to][pivots])
+                if key[1] >= 0:
+                    yield pd.DataFrame({"a": new[pivots], "b": key[1], "d": np.float32(0), "bucket": key[0], "code": [codes[at + k].tobytes() for k in pivots]})
+            yield from _frame(out_a, out_b, out_d)
 
     return edges
 
 
-def _pivot_rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(True, b, i, 0, s, t) for b, i, s, t in rows], columns=["pivot", "bucket", "a", "b", "s0", "s1"])
+def _foreign_pivots(plan: Plan):
+    """Edges `(a, b, d)` between the items of a part of a bucket and the other parts' local pivots, which come first."""
+    least = 1 - plan.distance - plan.slack
 
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, _Held()
+        for batch in batches:
+            if not len(batch):
+                continue
+            item, codes, is_item = batch["id"].to_numpy(), _matrix(batch["code"]), batch["is_item"].to_numpy()
+            out_a, out_b, out_d = [], [], []
+            for key, at, to in _slices(batch, "bucket", "salt", "is_item"):
+                if key[:2] != last:
+                    last = key[:2]
+                    held.clear()
+                if not is_item[at]:
+                    held.add(item[at:to], codes[at:to])
+                    continue
+                for r, ids, product in held.near(_units(codes[at:to]), least):
+                    out_a.append(ids)
+                    out_b.append(item[at:to][r])
+                    out_d.append(product)
+            yield from _frame(out_a, out_b, out_d)
+
+    return edges
 
-def _streamed(rows: DataFrame) -> DataFrame:
+
+def _streamed(rows: DataFrame, *order: Column | str) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the order follows from the id: it is taken after the shuffle, not carried through it
-    return rows.repartition(n, "bucket", "salt").withColumn("prio", _order("id")).sortWithinPartitions("bucket", "salt", "prio", "id")
+    return rows.repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", *order)
 
 
-def candidate_edges(items: DataFrame, n_items: int, n_dims: int, plan: Plan) -> DataFrame:
-    """Distinct `(a, b)` of items that look similar by their sketches, a before b in hash order."""
+def near_edges(items: DataFrame, n_items: int, n_dims: int, plan: Plan) -> DataFrame:
+    """Distinct `(a, b, d)` of items that are within the distance by their codes, a before b in hash order."""
     rows = _bucketed(items, n_items, n_dims, plan)
-    hot = cut(rows.groupBy("bucket").count().where(F.col("count") > plan.hot), "hot")
-    if hot.isEmpty():
-        edges = _streamed(rows.withColumn("salt", F.lit(-1))).mapInPandas(_local_pivots(plan, False), _EDGE)
+    size = items.sparkSession.createDataFrame([], "bucket long, n int")
+    if n_items > plan.part:  # else no bucket can have more than one part
+        size = cut(rows.groupBy("bucket").agg(F.ceil(F.count("*") / plan.part).cast("int").alias("n")).where("n > 1"), "parts")
+    hashed = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+    if size.isEmpty():
+        # the order follows from the id: it is taken after the shuffle, not carried through it
+        edges = _streamed(rows.withColumn("salt", F.lit(-1)), _order("id"), "id").mapInPandas(_local_pivots(plan), _EDGE)
     else:
-        parts = F.ceil(F.col("count") / plan.hot).cast("int")
-        salted = rows.join(hot, "bucket", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), parts).cast("int"), F.lit(-1)))
-        first = cut(_streamed(salted.select(*rows.columns, "salt")).mapInPandas(_local_pivots(plan, True), _EDGE), "edges")
-        pivots = first.where("pivot").select("bucket", F.lit(-1).alias("salt"), F.col("a").alias("id"), "s0", "s1")
-        second = cut(_streamed(pivots).mapInPandas(_local_pivots(plan, False), _EDGE), "edges")
-        # items meet the other parts' pivots through their own part's
-        through = first.where("not pivot").select("a", "b").join(second.select(F.col("a").alias("c"), F.col("b").alias("a")), "a")
-        edges = first.where("not pivot").select("a", "b").union(second.select("a", "b")).union(through.where("c <> b").select(F.col("c").alias("a"), "b"))
-        order = {x: items.select(F.col("id").alias(x), F.col("prio").alias(f"p{x}")) for x in ("a", "b")}
-        edges = edges.distinct().join(order["a"], "a").join(order["b"], "b")
-        before = F.struct("pa", "a") < F.struct("pb", "b")
-        edges = edges.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("b"))
-    return edges.select("a", "b").distinct()
-
-
-def checked_edges(edges: DataFrame, items: DataFrame, plan: Plan) -> DataFrame:
-    """`(a, b, d)` of the candidate edges within the distance, with the cosine distance."""
-    limit = plan.distance + plan.slack
-    one = items.select(F.col("id").alias("a"), F.col("v").alias("va"))
-    two = items.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                d = 1 - np.einsum("ij,ij->i", _matrix(b["va"]), _matrix(b["vb"]), dtype=np.float64)
-                ok = d <= limit
-                yield pd.DataFrame({"a": b["a"][ok], "b": b["b"][ok], "d": np.maximum(d[ok], 0.0)})
-
-    return edges.join(one, "a").join(two, "b").mapInPandas(check, "a long, b long, d double")
+        salted = rows.join(size, "bucket", "left").withColumn("salt", F.coalesce(hashed, F.lit(-1))).drop("n")
+        first = cut(_streamed(salted, _order("id"), "id").mapInPandas(_local_pivots(plan), _EDGE), "local")
+        others = F.explode(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: k != F.col("b"))).alias("salt")
+        pivots = first.where("bucket >= 0").join(size, "bucket").select("bucket", others, F.col("a").alias("id"), "code", F.lit(False).alias("is_item"))
+        large = rows.join(size, "bucket").select("bucket", hashed.alias("salt"), "id", "code", F.lit(True).alias("is_item"))
+        second = _streamed(pivots.unionByName(large), "is_item", "id").mapInPandas(_foreign_pivots(plan), _EDGE)
+        edges = first.where("bucket < 0").unionByName(second).where("a <> b")
+        before = F.struct(_order("a"), F.col("a")) < F.struct(_order("b"), F.col("b"))
+        edges = edges.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("b"), "d")
+    return edges.groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def pivots_of(edges: DataFrame) -> DataFrame:
@@ -244,9 +283,8 @@ def members_of(items: DataFrame, edges: DataFrame, pivots: DataFrame) -> DataFra
 
 @dataclass
 class Clustering:
-    """Items with vectors, checked edges and members."""
+    """Edges and members; the edges reach beyond the distance by the plan's slack."""
 
-    items: DataFrame
     edges: DataFrame
     members: DataFrame
 
@@ -258,11 +296,11 @@ def cluster(vectors: DataFrame, plan: Plan = Plan()) -> Clustering:
     Equal vectors share a cluster. An empty table gives empty results.
     """
     sizes = vectors.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    n_dims = sizes[0]["n"] if sizes else 1
-    items = cut(prepared(vectors, n_dims), "items")
-    edges = cut(checked_edges(candidate_edges(items, items.count(), n_dims, plan), items, plan), "edges")
-    members = cut(members_of(items, edges, pivots_of(edges)), "members")
-    return Clustering(items, edges, members)
+    n_dims, n_items = (sizes[0]["n"], sizes[0]["count"]) if sizes else (1, 0)
+    items = vectors.where(F.size("vec") == n_dims)
+    edges = cut(near_edges(items, n_items, n_dims, plan), "edges")
+    within = edges.where(F.col("d") <= F.lit(plan.distance))
+    return Clustering(edges, cut(members_of(items, within, pivots_of(within)), "members"))
 
 
 def pairs_within(vectors: DataFrame, found: Clustering, plan: Plan = Plan()) -> DataFrame:

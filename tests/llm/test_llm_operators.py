@@ -77,11 +77,11 @@ def _vectors(n_clusters, size, noise, seed, dims=64):
     return x + noise * rng.standard_normal(x.shape) / math.sqrt(dims)
 
 
-@pytest.mark.parametrize(("hot", "block"), [(20_000, 1500), (40, 16)])
-def test_pairs_equal_brute_force_also_with_hot_buckets(spark, hot, block):
+@pytest.mark.parametrize(("part", "block"), [(20_000, 1500), (40, 16)])
+def test_pairs_equal_brute_force_also_with_hot_buckets(spark, part, block):
     x = np.concatenate([_vectors(60, 4, 0.2, 1), _vectors(1, 160, 0.15, 2)])
     x[5] = x[4]
-    plan = clusters.Plan(hot=hot, block=block, bucket=64)
+    plan = clusters.Plan(part=part, block=block, bucket=64)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<float>")
     got = {(r.id_a, r.id_b) for r in clusters.pairs_within(df, clusters.cluster(df, plan), plan).collect()}
     u = x.astype(np.float32).astype(float)
@@ -91,6 +91,29 @@ def test_pairs_equal_brute_force_also_with_hot_buckets(spark, hot, block):
     assert got <= true and len(got) >= 0.99 * len(true)
 
 
+def test_parts_of_a_bucket_leave_nothing_uncompared(spark):
+    """With one bucket only, the edges of any number of parts link what brute force links; a third of the rows are almost copies."""
+    x = np.concatenate([_vectors(80, 3, 0.25, 3), _vectors(1, 120, 0.02, 4)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = {(i, j) for i, j in zip(*np.nonzero(np.triu(1 - u @ u.T <= 0.1199, 1)))}
+    for part in (1000, 100, 25):
+        plan = clusters.Plan(part=part)
+        found = clusters.cluster(df, plan)
+        assert true <= {(r.id_a, r.id_b) for r in clusters.pairs_within(df, found, plan).collect()}
+        dense = [r for r in found.edges.collect() if min(r.a, r.b) >= 240]
+        assert len(dense) <= 120 * -(-360 // part)  # about an edge per item and part, never all pairs
+
+
+def test_codes_keep_the_distance():
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((400, 64))
+    y = 0.88 * x + 0.475 * rng.standard_normal((400, 64))
+    exact = (x * y).sum(1) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
+    coded = (clusters._units(clusters.codes_of(x)) * clusters._units(clusters.codes_of(y))).sum(1)
+    assert np.abs(exact - coded).max() < clusters.Plan().slack
+
+
 def test_recall_at_the_boundary(spark):
     """Pairs spread up to the distance itself: edges of the tables against brute force."""
     x = _vectors(400, 2, 0.35, 5)
