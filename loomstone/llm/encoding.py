@@ -1,13 +1,15 @@
 """Text that was decoded with the wrong character encoding: find it and restore it.
 
-Method: unknown code-page swaps are treated as substitution ciphers. The cipher's units are the
-runs of non-ASCII characters. A unit's possible plain letters follow from pairs of public code
-pages (which bytes were written, which letters they were read as), once or several times over.
-Expectation-maximisation learns, for each source, how probable each swap is and which letter each
-unit stands for, against a letter n-gram model of the collection's own text; the model is counted
-anew from what the E-step holds to be sound. A unit stays as it is unless some reading of it is
-far more probable in its context. Units that no listed pair of code pages explains get a letter
-of their own, learnt per source by EM from their contexts alone. Restoring applies the learnt mapping with translate().
+Method: unknown code-page swaps are treated as substitution ciphers, one per source. The cipher's
+units are the runs of non-ASCII characters. Expectation-maximisation learns for each source which
+letter each unit stands for, and how often it stands for itself: the E-step shares every context
+of a unit among its possible letters by a letter n-gram model of the collection's own text, the
+M-step sums the shares up, and the letter model is counted anew from what is held to be sound.
+Pairs of public code pages (which bytes were written, which letters they were read as) are the
+prior of the mapping only: a letter that they suggest is dropped if sound text doesn't have it in
+the unit's contexts, and a unit that they explain wrongly or not at all gets its letter from its
+contexts alone. A unit is read as garbled where that is far more probable in its context.
+Restoring marks these units by signs and applies the source's mapping of signs with translate().
 """
 
 from __future__ import annotations
@@ -159,30 +161,52 @@ class Letters:
         return out
 
 
+def _known(letters: Letters, left: str, plain: str, right: str) -> bool:
+    """Whether sound text holds the letters at both ends of a reading beside these neighbours."""
+    s = (left[-1] + plain + (right[:1] or " ")).lower()
+    return letters.counts[2][s] > 0 if len(s) == 3 else letters.counts[1][s[:2]] > 0 and letters.counts[1][s[-2:]] > 0
+
+
 @dataclass
 class Cipher:
-    """What EM has learnt: swap probabilities by source and the letter model."""
+    """What EM has learnt of each source: probabilities of swaps, and its mapping of units to letters."""
 
     swaps: dict[str, dict[str, float]]
     letters: Letters
     sound: float = 0.9
     #: A reading must be this probable.
     least: float = 0.5
-    #: By source, the letter learnt for each unit that no listed swap explains, and its probability.
+    #: By source, the letter learnt for each unit that no listed swap explains in its contexts, and its probability.
     units: dict[str, dict[str, tuple[str, float]]] = field(default_factory=dict)
+    #: By source and unit, what it stands for: `{letters: (share of its occurrences, share of these that sound text knows)}`.
+    mapping: dict[str, dict[str, dict[str, tuple[float, float]]]] = field(default_factory=dict)
+
+    def options(self, source: str, left: str, run: str, right: str) -> list[tuple[str, str]]:
+        """`(swap, letters)` a run may stand for: what code pages suggest, unless the source's contexts speak against it."""
+        own = self.mapping.get(source, {}).get(run, {})
+        out = []
+        for swap, plain in readings(run):
+            if len(plain) == len(run):  # a letter for a letter: no structure of bytes speaks for it
+                known = own[plain][1] if plain in own else float(_known(self.letters, left, plain, right))
+                if known < 0.5:
+                    continue
+            out.append((swap, plain))
+        return out
 
     def posterior(self, source: str, left: str, run: str, right: str, sound: float | None = None, only: frozenset[str] | None = None) -> tuple[str | None, float, str]:
         """The best reading of a run, or None, the probability that the run is garbled, and the swap.
 
         `sound` is the probability beforehand that it is not; `only` limits the swaps.
         """
-        sound = self.sound if sound is None else sound
-        options = [o for o in readings(run) if only is None or o[0] in only]
+        options = [o for o in self.options(source, left, run, right) if only is None or o[0] in only]
         if not options:
             letter, p = self.units.get(source, {}).get(run, (None, 0.0))
             if letter is None or only is not None and LEARNT not in only:
                 return None, 0.0, ""
             return (letter.upper() if (left[-1] + right[:1]).strip().isupper() else letter), p, LEARNT
+        own = self.mapping.get(source, {}).get(run, {})
+        if sound is None:
+            sound = min(0.95, max(0.5, 1 - sum(w for w, _ in own.values()))) if own else self.sound
         swaps = self.swaps.get(source, {})
         base = self.letters.cost(left, run, right)
         weights = []
@@ -251,8 +275,10 @@ def learn_units(counts: DataFrame, letters: Letters, rounds: int = 3, bounds: Bo
             (letters, chances), sums = shared.value, {}
             for b in batches:
                 for source, left, run, right, _ in b.itertuples(index=False):
-                    if len(run) > bounds.longest or LOST in run or all(c in _PLAIN for c in run) or readings(run):
+                    if len(run) > bounds.longest or LOST in run or all(c in _PLAIN for c in run):
                         continue
+                    if any(len(p) < len(run) and all(c in _PLAIN for c in p) or _known(letters, left, p, right) for _, p in readings(run)):
+                        continue  # a listed swap explains it here
                     if not (left[-1].isalpha() or right[:1].isalpha()):
                         continue
                     own = chances.get((source, run))
@@ -285,11 +311,12 @@ def learn_units(counts: DataFrame, letters: Letters, rounds: int = 3, bounds: Bo
     return out
 
 
-def learn(counts: DataFrame, rounds: int = 3) -> Cipher:
+def learn(counts: DataFrame, rounds: int = 3, bounds: Bounds = Bounds()) -> Cipher:
     """Expectation-maximisation over context counts.
 
     What reaches the driver is bounded: each source's most frequent `MODEL_CONTEXTS` contexts for the
-    letter model, and one sum per source and swap in each round.
+    letter model, and in each round the sums of each source's swaps and of its `bounds.units` most
+    frequent readings of units; rarer units have their swap's probability and their own contexts.
     """
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "lft", "run", "rgt")))
     top = [tuple(r) for r in ranked.where(F.col("r") <= MODEL_CONTEXTS).drop("r").collect()]
@@ -297,34 +324,71 @@ def learn(counts: DataFrame, rounds: int = 3) -> Cipher:
     for _, left, run, right, n in top:
         if all(c in _PLAIN for c in run):
             letters.add(left, run, right, n)
-    units = learn_units(counts, letters)
+    units = learn_units(counts, letters, bounds=bounds)
     cipher = Cipher({}, letters, units=units)
     for _ in range(rounds):
         shared = counts.sparkSession.sparkContext.broadcast(cipher)
 
         def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cipher, sums = shared.value, Counter()
+            cipher, sums = shared.value, {}
             for b in batches:
                 for source, left, run, right, n in b.itertuples(index=False):
-                    _, p, swap = cipher.posterior(source, left, run, right)
-                    if p > 0.5 and swap != LEARNT:
-                        sums[(source, swap)] += n * p
-            yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["source", "swap", "w"])
-
-        sums = counts.mapInPandas(expect, "source string, swap string, w double").groupBy("source", "swap").agg(F.sum("w").alias("w")).collect()
+                    if LOST in run or not readings(run):
+                        continue
+                    plain, p, swap = cipher.posterior(source, left, run, right)
+                    at = sums.setdefault((source, run, run, ""), [0.0, 0.0])
+                    at[0] += n * (1 - p)
+                    if plain is not None and swap != LEARNT:
+                        at = sums.setdefault((source, run, plain, swap), [0.0, 0.0])
+                        at[0] += n * p
+                        at[1] += n * p * _known(cipher.letters, left, plain, right)
+            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["source", "unit", "plain", "swap", "w", "known"])
+
+        sums = counts.mapInPandas(expect, "source string, unit string, plain string, swap string, w double, known double")
+        sums = sums.groupBy("source", "unit", "plain", "swap").agg(F.sum("w").alias("w"), F.sum("known").alias("known"))
         swaps: dict[str, dict[str, float]] = {}
-        for source, swap, w in sums:
+        for source, swap, w in sums.where("swap <> ''").groupBy("source", "swap").agg(F.sum("w").alias("w")).collect():
             swaps.setdefault(source, {})[swap] = w
-        swaps = {s: {k: max(1e-3, v / sum(own.values())) for k, v in own.items()} for s, own in swaps.items()}
+        swaps = {s: {k: max(1e-3, v / max(1e-9, sum(own.values()))) for k, v in own.items()} for s, own in swaps.items()}
+        nth = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("all"), "unit", F.desc("w"), "plain"))
+        whole = sums.withColumn("all", F.sum("w").over(Window.partitionBy("source", "unit"))).where("swap <> ''")
+        mapping: dict[str, dict[str, dict[str, tuple[float, float]]]] = {}
+        for r in whole.withColumn("nth", nth).where(F.col("nth") <= bounds.units).collect():
+            mapping.setdefault(r["source"], {}).setdefault(r["unit"], {})[r["plain"]] = (r["w"] / max(r["all"], 1e-9), r["known"] / max(r["w"], 1e-9))
         fresh = Letters()
         for source, left, run, right, n in top:
             plain, p, _ = cipher.posterior(source, left, run, right)
             if LOST not in run:
                 fresh.add(left, plain if p > 0.5 else run, right, n)
-        cipher = Cipher(swaps, fresh, units=units)
+        cipher = Cipher(swaps, fresh, units=units, mapping=mapping)
     return cipher
 
 
+class _Signs:
+    """One sign, of the planes for private use, for each unit that stands for something: what translate() maps."""
+
+    FIRST, LAST = 0xF0000, 0x10FFFD
+
+    def __init__(self):
+        self.of: dict[tuple[str, str], str] = {}
+        self.table: dict[int, str] = {}
+
+    def restart(self) -> None:
+        """Forget all signs if few are left; to be called between texts."""
+        if self.LAST - self.FIRST - len(self.of) < 40_000:
+            self.of.clear()
+            self.table.clear()
+
+    def sign(self, unit: str, plain: str) -> str:
+        got = self.of.get((unit, plain))
+        if got is None:
+            if self.FIRST + len(self.of) > self.LAST:
+                return plain
+            got = self.of[unit, plain] = chr(self.FIRST + len(self.of))
+            self.table[ord(got)] = plain
+        return got
+
+
 def restore(texts: DataFrame, cipher: Cipher, *carry: str) -> DataFrame:
     """`(*carry, text, restored, restorable)` of the texts with garbled characters.
 
@@ -336,7 +400,7 @@ def restore(texts: DataFrame, cipher: Cipher, *carry: str) -> DataFrame:
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + ["text string, restored string, restorable boolean"])
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cipher, known = shared.value, {}
+        cipher, known, signs = shared.value, {}, {}
 
         def decide(*key) -> tuple[str | None, str]:
             if key not in known:
@@ -347,16 +411,22 @@ def restore(texts: DataFrame, cipher: Cipher, *carry: str) -> DataFrame:
             return known[key]
 
         def put(source: str, text: str, *more) -> tuple[str, frozenset[str]]:
-            out, at, swaps = [], 0, set()
+            out, at, swaps, before = [], 0, set(), ""
+            own = signs.setdefault(source, _Signs())
+            own.restart()
+            free = max(text) < chr(_Signs.FIRST)  # else the text holds such signs itself
             for start, left, run, right in contexts(text):
-                if out and start - at < 2:  # what precedes was restored itself
-                    left = (out[-1] + text[at:start])[-2:].rjust(2)
+                if before and start - at < 2:  # what precedes was restored itself
+                    left = (before + text[at:start])[-2:].rjust(2)
                 plain, swap = decide(source, left, run, right, *more)
                 if plain is not None:
-                    out += [text[at:start], plain]
-                    at = start + len(run)
+                    out += [text[at:start], own.sign(run, plain) if free else plain]
+                    at, before = start + len(run), plain
                     swaps.add(swap)
-            return "".join([*out, text[at:]]), frozenset(swaps)
+            if not swaps:
+                return text, frozenset()
+            marked = "".join([*out, text[at:]])
+            return marked.translate(own.table) if free else marked, frozenset(swaps)
 
         for b in batches:
             keep, restored, whole = [], [], []

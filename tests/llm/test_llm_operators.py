@@ -303,12 +303,13 @@ def test_garbled_words_of_other_languages(spark):
     assert got == {i: t for i, (t, _) in bad.items()}
 
 
-def test_letters_of_an_unlisted_swap_are_learnt(spark):
-    """UTF-8 read as KOI8-R, which is no listed page; words of other scripts stay as they are."""
+@pytest.mark.parametrize(("written", "read"), [("utf-8", "koi8_r"), ("utf-8", "cp1253"), ("utf-8", "cp1257"), ("cp1252", "cp1253"), ("mac_roman", "cp1257")])
+def test_letters_of_an_unlisted_swap_are_learnt(spark, written, read):
+    """Pairs of pages that are no listed ones; words of other scripts stay as they are."""
     words = "défilé légende dévorée écharpe décor étole brodée plissée coupée fermée réseau crépon".split()
     rows = [(i, "s", f"la {w} noire {i}") for i, w in enumerate(words * 8)]
     bad = {1000 + i: w for i, w in enumerate(words)}
-    rows += [(i, "s", f"la {_garble(w, 'utf-8', 'koi8_r')} noire") for i, w in bad.items()]
+    rows += [(i, "s", f"la {_garble(w, written, read)} noire") for i, w in bad.items()]
     rows += [(2000 + i, "s", f"«{w}»") for i, w in enumerate("выставка платье łódź złoty ζώνη φόρεμα szőlő nyelvű".split())]
     df = spark.createDataFrame(rows, "id long, source string, text string")
     cipher = encoding.learn(encoding.context_counts(df))
@@ -316,6 +317,17 @@ def test_letters_of_an_unlisted_swap_are_learnt(spark):
     assert got == {i: f"la {w} noire" for i, w in bad.items()}
 
 
+def test_sound_words_with_odd_letters_stay(spark):
+    """Letters that some pair of pages would explain, in contexts that no sound text has."""
+    rows = [(i, "s", f"{t} {i}") for i, t in enumerate(SOUND * 20)]
+    rows += [(2000 + i, "s", t) for i, t in enumerate(["hem of 32 cm (Ωmega™).", "gris (ÂME, MÃOS).", "½ circle ±2 °C", "Ωmega™ fold"] * 4)]
+    rows += [(3000 + i, "s", "un taffet‡ pi˘ ampio, le dÈfilÈ coupÈ") for i in range(9)] + [(4000, "s", "\U000f0000 dÃ©filÃ© \U000f0001")]
+    df = spark.createDataFrame(rows, "id long, source string, text string")
+    got = {r.id: r.restored for r in encoding.restore(df, encoding.learn(encoding.context_counts(df)), "id").collect()}
+    assert set(got) == {3000 + i for i in range(9)} | {4000} and got[4000] == "\U000f0000 défilé \U000f0001"
+    assert all(t.startswith("un taffetà più ampio") for i, t in got.items() if i < 4000)
+
+
 @given(st.lists(st.integers(0, 100), max_size=60))
 @settings(max_examples=80, deadline=None)
 def test_first_fit_equals_the_plain_one(sizes):
