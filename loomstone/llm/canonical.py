@@ -1,11 +1,13 @@
 """Free-typed values mapped to the closest entry of a reference list.
 
-Method: the distinct values of each slot are normalised (encoding repaired, accents folded,
-shares, codes, counts and remarks left out), candidates are retrieved from an inverted index of
-character n-grams over the entries' forms, scored by weighted cosine, and accepted above a
-threshold with a margin over the next entry. The edit distance makes up half of the score, for
-short words, where few n-grams survive a typing error. It is taken in the order of an upper bound of
-the score, until no form left can change the outcome, so the result is that of ranking every form.
+Method: the distinct values of each slot are normalised (encoding repaired, accents folded, shares,
+remarks and numbers left out, and words that only accompany a name), candidates are retrieved from
+an inverted index of character n-grams over the entries' forms, scored by weighted cosine, and
+accepted above a threshold with a margin over the next entry. The accompanying words are learnt
+from all values: a word that no form has, before or after exact forms of several entries. The edit
+distance makes up half of the score, for short words, where few n-grams survive a typing error. It
+is taken in the order of an upper bound of the score, until no form left can change the outcome,
+so the result is that of ranking every form.
 """
 
 from __future__ import annotations
@@ -14,24 +16,29 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words around a name that don't change what it names, in front of it and behind it.
-BEFORE = ("fodera", "lining", "sample", "effetto", "dettaglio", "uscita")
-AFTER = ("double", "donna", "sfilata", "prototype", "campione", "effect", "detail", "rev")
-_CODES = re.compile(
-    r"\((?:[^()]*)\)|\[[^\]]*\]|(?:ca\.?\s*)?\d+(?:[.,]\d+)?\s*%|\bart\.?\s*\d+|\bcol\.?\s*\d+|\bn\.?\s*\d+|#\s*\d+|\buscita\s+\d+\s*:?|^\s*\d+\s+"
-)
-_BEFORE = re.compile(rf"^(?:{'|'.join(BEFORE)})\b\s*:?\s*")
-_AFTER = re.compile(rf"[\s\-–]+(?:{'|'.join(AFTER)})$")
+from loomstone.plans.lineage import cut
+
+_REMARKS = re.compile(r"\((?:[^()]*)\)|\[[^\]]*\]|(?:\bca\.?\s*)?\d+(?:[.,]\d+)?\s*%")
 _ABBREVIATED = re.compile(r"^[^\W\d_][\w\-]{2,5}\.$")
 
 
+@dataclass(frozen=True)
+class Company:
+    """The words of a slot that only accompany a name, before and after it, and all words of its forms."""
+
+    before: frozenset[str] = frozenset()
+    after: frozenset[str] = frozenset()
+    words: frozenset[str] = frozenset()
+
+
 @lru_cache(maxsize=1)
 def _repair():
     from loomstone.llm.encoding import readings
@@ -59,13 +66,21 @@ def _fold(text: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9�]+", " ", out).split()).replace("�", "?")
 
 
-def normalised(value: str) -> str:
-    """The bare name within a typed value; if nothing is left, the folded value itself."""
+def _words(value: str, forms: frozenset[str]) -> list[str]:
+    """The folded words of a typed value without remarks in brackets, shares and numbers that no form has."""
     v = _sound(value) if not value.isascii() else value
-    s = _CODES.sub(" ", v.lower()).strip(" .?*:;-–")
-    for _ in range(2):
-        s = _AFTER.sub("", _BEFORE.sub("", s.strip())).strip(" .?*:;-–")
-    return _fold(s) or _fold(value)
+    return [w for w in _fold(_REMARKS.sub(" ", v.lower())).split() if not w.isdigit() or w in forms]
+
+
+def normalised(value: str, company: Company = Company()) -> str:
+    """The bare name within a typed value; if nothing is left, the folded value itself."""
+    words = _words(value, company.words)
+    lo, hi = 0, len(words)
+    while hi - lo > 1 and words[lo] in company.before:
+        lo += 1
+    while hi - lo > 1 and words[hi - 1] in company.after:
+        hi -= 1
+    return " ".join(words[lo:hi]) or _fold(value)
 
 
 def grams(text: str) -> dict[str, float]:
@@ -105,7 +120,8 @@ def _letters(text: str) -> np.ndarray:
 class Index:
     """Inverted n-gram index over the forms of one slot's entries."""
 
-    def __init__(self, forms: list[tuple[int, str]]):
+    def __init__(self, forms: list[tuple[int, str]], company: Company = Company()):
+        self.company = company
         self.refs = np.array([r for r, _ in forms])
         self.forms = [_fold(f) for _, f in forms]
         self.letters = np.stack([_letters(f) for f in self.forms])
@@ -141,15 +157,20 @@ class Index:
 
     def match(self, value: str, threshold: float, margin: float) -> tuple[int, float]:
         """The entry a typed value means, or 0, and its score."""
-        text = normalised(value)
+        text = normalised(value, self.company)
         if text in self.exact:
             return self.exact[text], 1.0
         if not text:
             return 0, 0.0
         if _ABBREVIATED.match(value.strip().lower()):
-            short = sorted((len(f), i) for i, f in enumerate(self.forms) if f.startswith(text))
-            if short:
-                return int(self.refs[short[0][1]]), 1.0
+            # the share of a form that its beginning makes up; threshold and margin hold as for whole names
+            shares: dict[int, float] = {}
+            for ref, form in zip(self.refs.tolist(), self.forms):
+                if form.startswith(text):
+                    shares[ref] = max(shares.get(ref, 0.0), 0.5 + 0.5 * len(text) / len(form))
+            ranked = sorted(((p, -ref) for ref, p in shares.items()), reverse=True) + [(0.0, 0)]
+            if ranked[0][0] >= threshold and ranked[0][0] - ranked[1][0] >= margin:
+                return -ranked[0][1], ranked[0][0]
         if text not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
@@ -185,8 +206,43 @@ class Index:
 THRESHOLD, MARGIN = 0.58, 0.01
 
 
+#: A word accompanies names if it is beside exact forms of this many entries; so many such words of a slot are kept.
+ENTRIES, KEPT = 3, 1000
+
+
+def learn_company(distinct: DataFrame, by: dict[str, list[tuple[int, str]]]) -> dict[str, Company]:
+    """The accompanying words of each slot, learnt from all distinct `(slot, value)`.
+
+    Of a slot and side the `KEPT` words beside the most entries reach the driver.
+    """
+    folded = {slot: {_fold(f): r for r, f in forms} for slot, forms in by.items()}
+    words = {slot: frozenset(w for f in forms for w in f.split()) for slot, forms in folded.items()}
+    shared = distinct.sparkSession.sparkContext.broadcast((folded, words))
+
+    def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folded, words = shared.value
+        for b in batches:
+            rows = set()
+            for slot, value in zip(b["slot"], b["value"]):
+                own = _words(value, words[slot]) if slot in words else []
+                if len(own) > 1:
+                    for side, word, rest in (("before", own[0], own[1:]), ("after", own[-1], own[:-1])):
+                        ref = folded[slot].get(" ".join(rest))
+                        if ref is not None and word not in words[slot]:
+                            rows.add((slot, side, word, ref))
+            yield pd.DataFrame(sorted(rows), columns=["slot", "side", "word", "ref_id"])
+
+    found = distinct.mapInPandas(beside, "slot string, side string, word string, ref_id long")
+    found = found.distinct().groupBy("slot", "side", "word").agg(F.count("*").alias("n")).where(F.col("n") >= ENTRIES)
+    nth = F.row_number().over(Window.partitionBy("slot", "side").orderBy(F.desc("n"), "word"))
+    sides: dict[tuple[str, str], set[str]] = defaultdict(set)
+    for r in found.withColumn("nth", nth).where(F.col("nth") <= KEPT).collect():
+        sides[r["slot"], r["side"]].add(r["word"])
+    return {slot: Company(frozenset(sides[slot, "before"]), frozenset(sides[slot, "after"]), words[slot]) for slot in by}
+
+
 def match_values(values: DataFrame, reference: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """`(slot, value, ref_id, score)` for each distinct typed value that isn't an entry's form letter for letter.
+    """`(slot, value, n_uses, ref_id, score)` for each distinct typed value that isn't an entry's form letter for letter.
 
     `values` has `(slot, value)` and may repeat; `reference` has `(ref_id, slot, form)`: its size
     is checked before it is shared, at most 100,000 forms. Null values are left out; a value of
@@ -199,23 +255,35 @@ def match_values(values: DataFrame, reference: DataFrame, threshold: float = THR
     by: dict[str, list[tuple[int, str]]] = defaultdict(list)
     for ref, slot, form in sorted(forms):
         by[slot].append((ref, form))
-    shared = values.sparkSession.sparkContext.broadcast(dict(by))
-    distinct = values.where("value is not null and value <> ''").groupBy("slot", "value").agg(F.lit(1).alias("one"))
+    distinct = cut(values.where("value is not null and value <> ''").groupBy("slot", "value").agg(F.count("*").alias("n_uses")), "values")
+    shared = values.sparkSession.sparkContext.broadcast((dict(by), learn_company(distinct, by)))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by, indexes = shared.value, {}
+        (by, company), indexes = shared.value, {}
         exact = {slot: {f for _, f in forms} for slot, forms in by.items()}
         for b in batches:
             rows = []
-            for slot, value in zip(b["slot"], b["value"]):
+            for slot, value, n in zip(b["slot"], b["value"], b["n_uses"]):
                 if slot not in by:
-                    rows.append((slot, value, 0, 0.0))
+                    rows.append((slot, value, n, 0, 0.0))
                 elif value not in exact[slot]:
                     if slot not in indexes:
-                        indexes[slot] = Index(by[slot])
-                    rows.append((slot, value, *indexes[slot].match(value, threshold, margin)))
-            yield pd.DataFrame(rows, columns=["slot", "value", "ref_id", "score"])
+                        indexes[slot] = Index(by[slot], company[slot])
+                    rows.append((slot, value, n, *indexes[slot].match(value, threshold, margin)))
+            yield pd.DataFrame(rows, columns=["slot", "value", "n_uses", "ref_id", "score"])
 
     # the values are few bytes but take long: spread them over all tasks
     n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return distinct.select("slot", "value").repartition(n).mapInPandas(match, "slot string, value string, ref_id long, score double")
+    return distinct.repartition(n).mapInPandas(match, "slot string, value string, n_uses long, ref_id long, score double")
+
+
+def attached(typed: DataFrame, matched: DataFrame, n_rows: int, share: float = 0.005) -> DataFrame:
+    """The typed rows with their values' entries. A value that makes up `share` of all rows is hot.
+
+    There are at most 1 / share hot values, which are broadcast; the others meet in a join by value.
+    """
+    hot = F.col("n_uses") >= max(1, int(share * n_rows))
+    key = ["slot", "value"]
+    few, many = matched.where(hot), matched.where(~hot)
+    usual = typed.join(F.broadcast(few.select(*key)), key, "left_anti").join(many.hint("merge"), key)
+    return typed.join(F.broadcast(few), key).unionByName(usual)

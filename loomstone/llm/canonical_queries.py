@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm.canonical import match_values
+from loomstone.llm.canonical import attached, match_values
 from loomstone.operators.packed import FIELDS as PACKED
 from loomstone.operators.packed import unpack
 from loomstone.plans.lineage import cut
@@ -28,18 +28,22 @@ def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("ref_id", "slot", F.explode(F.array("term", "term_it")).alias("form"))
 
 
+def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    typed = cut(_typed(spark, sf_dir).distinct(), "typed")
+    return typed, cut(match_values(typed, _reference(spark, sf_dir)), "matched"), typed.count()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entry each inexactly typed value means, 0 for none."""
-    typed = _typed(spark, sf_dir)
-    matched = cut(match_values(typed, _reference(spark, sf_dir)), "matched").select("slot", "value", "ref_id")
-    return typed.join(matched, ["slot", "value"]).select("table_name", "row_id", "field_name", "ref_id").distinct()
+    typed, matched, n = _matched(spark, sf_dir)
+    return attached(typed, matched, n).select("table_name", "row_id", "field_name", "ref_id").distinct()
 
 
 def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct values that mean no entry, with the number of their uses."""
-    typed = _typed(spark, sf_dir)
-    matched = cut(match_values(typed, _reference(spark, sf_dir)), "matched")
-    return typed.join(matched.where("ref_id = 0"), ["slot", "value"]).groupBy("slot", "value", "score").agg(F.count_distinct("table_name", "row_id", "field_name").alias("n_rows"))
+    typed, matched, n = _matched(spark, sf_dir)
+    rows = attached(typed, matched.where("ref_id = 0"), n).select("slot", "value", "score", "table_name", "row_id", "field_name").distinct()
+    return rows.groupBy("slot", "value", "score").agg(F.count("*").alias("n_rows"))
 
 
 QUERIES = {"p6_found": p6_found, "p6_unmatched": p6_unmatched}
