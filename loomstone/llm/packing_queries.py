@@ -20,7 +20,7 @@ def _capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in a container of each capacity."""
     capacities = _capacities(spark, sf_dir)
-    names = sorted(r[0] for r in capacities.select("tokenizer").distinct().limit(20).collect())
+    names = sorted(r[0] for r in capacities.select("tokenizer").distinct().collect())  # a stated list of tokenizers
     if not names:
         return spark.createDataFrame([], "capacity_id long, container_id string, doc_id long, part_no int, first_token long, n_tokens long")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")

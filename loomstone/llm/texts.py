@@ -47,18 +47,10 @@ def tokenizer(name: str, folder: str = TOKENIZER_DIR):
     return tiktoken.Encoding(file, pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Longer runs without white space are counted in pieces of this many characters, as the merge
-#: loop's time grows with the square of a run. Cutting a run may add a token at each cut.
-RUN = 2000
-_RUNS = re.compile(r"\S{%d}" % RUN)
-
-
 def count_tokens(text: str | None, name: str, folder: str = TOKENIZER_DIR) -> int:
     """Tokens of a text; null and empty texts have none."""
     if not text:
         return 0
-    if len(text) > RUN and _RUNS.search(text):
-        text = _RUNS.sub(lambda m: m[0] + "\n", text)
     return len(tokenizer(name, folder).encode_ordinary(text))
 
 
