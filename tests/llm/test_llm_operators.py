@@ -216,13 +216,37 @@ TYPED = {"Silk": 1, "slk": 1, "seta 43,5%": 1, "fodera: lanna": 2, "crÃªpe de
 
 def test_canonical_terms(spark):
     ref = spark.createDataFrame(REFERENCE, "ref_id long, slot string, form string")
-    rows = [("m", v) for v in TYPED] * 2 + [("m", "silk"), ("m", None), ("m", ""), ("other", "silk"), ("m", "silk " * 5000)]
+    rows = [("m", f"fodera: {v}") for v in ("lana", "seta", "lamé")] + [("m", v) for v in TYPED] * 2 + [("m", "silk"), ("m", None), ("m", ""), ("other", "silk"), ("m", "silk " * 5000)]
     got = {(r.slot, r.value): r.ref_id for r in canonical.match_values(spark.createDataFrame(rows, "slot string, value string"), ref).collect()}
     assert {v: got["m", v] for v in TYPED} == TYPED
     assert got["other", "silk"] == 0 and ("m", "silk") not in got and ("m", "") not in got
     assert canonical.match_values(spark.createDataFrame(rows, "slot string, value string"), ref.limit(0)).where("ref_id <> 0").count() == 0
 
 
+def test_accompanying_words_are_learnt(spark):
+    ref = spark.createDataFrame(REFERENCE, "ref_id long, slot string, form string")
+    values = ["zubeh lana", "Zubeh: seta", "zubeh lamé", "zubeh selk", "silk nummer 12", "wool nummer 3", "lamé nummer 44", "leather nummer", "thin silk", "thin wool"]
+    df = spark.createDataFrame([("m", v) for v in values], "slot string, value string").distinct()
+    by = {"m": [(r, f) for r, _, f in REFERENCE]}
+    company = canonical.learn_company(df, by)["m"]
+    assert company.before == {"zubeh"} and company.after == {"nummer"} and "patent" in company.words
+    got = {r.value: r.ref_id for r in canonical.match_values(df, ref).collect()}
+    assert got["zubeh selk"] == 1 and got["silk nummer 12"] == 1 and got["Zubeh: seta"] == 1
+
+
+def test_abbreviations_need_a_margin(spark):
+    ref = spark.createDataFrame([(1, "m", "velvet"), (2, "m", "velour"), (3, "m", "taffeta"), (3, "m", "taffetà")], "ref_id long, slot string, form string")
+    df = spark.createDataFrame([("m", "vel."), ("m", "velv."), ("m", "taff.")], "slot string, value string")
+    assert {r.value: r.ref_id for r in canonical.match_values(df, ref).collect()} == {"vel.": 0, "velv.": 1, "taff.": 3}
+
+
+def test_hot_values_are_attached(spark):
+    typed = spark.createDataFrame([("m", "a", i) for i in range(300)] + [("m", f"b{i}", i) for i in range(100)], "slot string, value string, row_id long")
+    matched = spark.createDataFrame([("m", "a", 300, 1, 1.0)] + [("m", f"b{i}", 1, 2, 1.0) for i in range(99)], "slot string, value string, n_uses long, ref_id long, score double")
+    got = canonical.attached(typed, matched, 400, 0.5)
+    assert got.count() == 399 and got.where("ref_id = 1").count() == 300
+
+
 def test_a_value_between_two_entries_is_unmatched(spark):
     ref = spark.createDataFrame([(1, "m", "bata"), (2, "m", "bada")], "ref_id long, slot string, form string")
     values = spark.createDataFrame([("m", "baxa"), ("m", "batta")], "slot string, value string")
@@ -358,12 +382,18 @@ def test_packing_keeps_every_token(spark):
         parts = Counter(r.doc_id for r in mine)
         assert all(parts[i] == max(1, -(-n // cap)) for i, n in sizes)
         assert {i for i, _ in sizes} == set(parts)
+        least = -(-sum(n for _, n in sizes) // cap)
+        assert sum(1 for n in per_bin.values() if n) <= 11 / 9 * least + 300 // 64 + 1
 
 
 def test_token_counts():
     assert count_tokens(None, "cl100k_base") == count_tokens("", "cl100k_base") == 0
     assert count_tokens("a silk jacket", "cl100k_base") >= 3
-    assert 100 < count_tokens("x" * 30_000, "cl100k_base") <= 30_000
+    from loomstone.llm.texts import tokenizer
+
+    rng = random.Random(11)
+    for long in ("x" * 100_000, "".join(rng.choice("abcdefgh") for _ in range(100_000)), "word " * 20_000):
+        assert count_tokens(long, "cl100k_base") == len(tokenizer("cl100k_base").encode_ordinary(long))
 
 
 def test_mixture_meets_its_targets(spark):
@@ -372,15 +402,43 @@ def test_mixture_meets_its_targets(spark):
     rows = []
     for i in range(3000):
         k = int(rng.choice(3, p=[0.6, 0.3, 0.1]))
-        m = np.full(3, 0.05)
-        m[k] += 0.85
+        m = rng.dirichlet([0.4] * 3) * 0.5
+        m[k] += 0.5
         rows.append((i, names[k], int(rng.integers(0, 400)), [float(x) for x in m]))
     df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, membership array<double>")
     totals = np.array([sum(r[2] for r in rows if r[1] == n) for n in names], float)
     got = mixing.mix(df, names, shares, caps, totals).collect()
     used = np.array([sum(r.repeats * r.n_tokens for r in got if r.source == n) for n in names], float)
-    assert np.abs(used / used.sum() - shares).max() < 0.005
+    assert np.abs(used / used.sum() - shares).max() < 0.001
     assert all(r.repeats <= caps[names.index(r.source)] for r in got) and len(got) == 3000
+    # the rates meet targets by membership, which they would not if they followed the delivered source
+    m, n, k = np.array([r[3] for r in rows]), np.array([r[2] for r in rows]), np.array([names.index(r[1]) for r in rows])
+    targets = 0.5 * (n @ m) * np.array([1.15, 1.0, 0.85])
+    steps, gap = mixing.fit_rates(df, names, targets, totals, caps)
+    start = np.minimum(caps, targets / totals)
+    rates = mixing._rates(start[k], caps[k], m, steps)
+    assert gap < 1e-4 and np.abs((rates * n) @ m - targets).max() <= 1.01e-4 * targets.sum()
+    assert np.abs((start[k] * n) @ m - targets).max() > 0.01 * targets.sum()
+
+
+def test_gaps_of_large_documents_are_filled(spark):
+    rng = np.random.default_rng(9)
+    sizes = {"a": [4000] * 9 + rng.integers(5, 60, 400).tolist(), "b": rng.integers(5, 60, 500).tolist()}
+    rows = [(f"{s}{i}", s, int(n), [1.0, 0.0] if s == "a" else [0.0, 1.0]) for s, own in sizes.items() for i, n in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id string, source string, n_tokens long, membership array<double>")
+    totals, shares, caps = np.array([sum(sizes["a"]), sum(sizes["b"])], float), np.array([0.6, 0.4]), np.array([2.0, 2.0])
+    got = mixing.mix(df, ["a", "b"], shares, caps, totals).collect()
+    used = np.array([sum(r.repeats * r.n_tokens for r in got if r.source == n) for n in ("a", "b")], float)
+    assert np.abs(used / used.sum() - shares).max() < 0.002 and max(r.repeats for r in got) <= 2
+
+
+def test_posteriors_tell_sources_apart():
+    rng = random.Random(10)
+    words = {"review": "critic runway show seat applause", "letter": "dear regards yours sincerely thank"}
+    rows = [(" ".join(rng.choice(words[s].split()) for _ in range(30)), s) for s in words for _ in range(60)]
+    c = mixing.fit(rows, sorted(words))
+    assert c.posterior("dear thank yours")[0] > 0.9 and c.posterior("runway applause critic")[1] > 0.9
+    assert abs(c.posterior(None).sum() - 1) < 1e-9
 
 
 def test_toxicity_held_out():
