@@ -1,7 +1,8 @@
 """Cutting lineage with tables in the folder that all executors share.
 
-The folder is the session's `spark.checkpoint.dir`. Only where that is unset, as in tests, a
-temporary folder of this machine is taken, which is removed when Python ends.
+The folder is the session's `spark.checkpoint.dir`. Only where that is unset and Spark runs in
+this one process (`local[...]`, as in tests) a temporary folder of this machine is taken, which is
+removed when Python ends; on a cluster an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="loomstone-")
