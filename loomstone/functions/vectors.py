@@ -29,8 +29,8 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def sign_hash(a: Column, bits: int = 62) -> Column:
-    """The signs of the first components as bits of a non-negative long."""
+def sign_hash(a: Column, bits: int = 64) -> Column:
+    """The signs of the first components as bits of a long, at most 64 of them, the first one highest."""
     picked = F.slice(a, 1, bits)
     return F.aggregate(picked, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
 

@@ -29,3 +29,6 @@ IMAGES_SQL = (
     + PATH_SQL.format("path")
     + " AS path FROM image_embedding WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
 )
+#: The signs of a vector's 64 components as a long, as vectors.sign_hash() packs them.
+_BITS = "(" + " + ".join(f"(CASE WHEN v[{i}] > 0 THEN 1::HUGEINT << {64 - i} ELSE 0 END)" for i in range(1, 65)) + ")"
+HASH_SQL = f"({_BITS} - CASE WHEN v[1] > 0 THEN 1::HUGEINT << 64 ELSE 0 END)::BIGINT"

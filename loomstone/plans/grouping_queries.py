@@ -10,7 +10,7 @@ from loomstone.functions.paths import same_path
 from loomstone.functions.vectors import sign_hash
 from loomstone.operators import grouping, matching, vocabulary
 from loomstone.operators.sequences import window_of_history
-from loomstone.plans.archive import IMAGES_SQL, ITEMS_SQL, images, items
+from loomstone.plans.archive import HASH_SQL, IMAGES_SQL, ITEMS_SQL, images, items
 from loomstone.plans.lineage import cut
 from loomstone.sources.tables import table
 
@@ -214,8 +214,7 @@ _R = (
     " m AS (SELECT i.season, i.id, CASE WHEN g.id IS NOT NULL THEN coalesce(k.comp, i.id) ELSE coalesce(c.comp, i.id) END AS cluster, g.id IS NOT NULL AS reclustered FROM images i LEFT JOIN c ON c.id = i.id LEFT JOIN g ON g.id = i.id LEFT JOIN k ON k.id = i.id AND k.comp IN (SELECT comp FROM k4) WHERE i.season IS NOT NULL)"
 )
 _M = _R + ", p AS (SELECT x.cluster, list_cosine_distance(a.v, b.v) AS d FROM m x JOIN m y ON x.cluster = y.cluster AND x.id < y.id JOIN images a ON a.id = x.id JOIN images b ON b.id = y.id), q AS (SELECT cluster, avg(1 - d) AS s, max(d) AS d FROM p GROUP BY 1), n AS (SELECT cluster, count(*)::INT AS cluster_size FROM m GROUP BY 1), t AS (SELECT n.cluster, cluster_size, round(coalesce(s, 1.0), 4) AS avg_similarity, round(greatest(coalesce(d, 0.0), 0.0), 4) AS max_pairwise_distance FROM n LEFT JOIN q USING (cluster))"
-_BITS = " + ".join(f"(CASE WHEN v[{i}] > 0 THEN 1::BIGINT << {62 - i} ELSE 0 END)" for i in range(1, 63))
-_H = f"WITH {IMAGES_SQL}, h AS (SELECT season, id, {_BITS} AS h FROM images WHERE season IS NOT NULL), qs AS (SELECT * FROM h WHERE ('0x' || substr(id, 1, 6))::BIGINT % 20 = 0), d AS (SELECT q.season, q.id AS query, c.id AS cand, bit_count(xor(q.h, c.h))::INT AS dist FROM qs q JOIN h c ON q.season = c.season AND q.id <> c.id)"
+_H = f"WITH {IMAGES_SQL}, h AS (SELECT season, id, {HASH_SQL} AS h FROM images WHERE season IS NOT NULL), qs AS (SELECT * FROM h WHERE ('0x' || substr(id, 1, 6))::BIGINT % 20 = 0), d AS (SELECT q.season, q.id AS query, c.id AS cand, bit_count(xor(q.h, c.h))::INT AS dist FROM qs q JOIN h c ON q.season = c.season AND q.id <> c.id)"
 _NN = _H + ", nn AS (SELECT season, query, cand AS match, dist FROM d QUALIFY row_number() OVER (PARTITION BY season, query ORDER BY dist, cand) = 1)"
 _T = "t AS (SELECT user_id AS chat, event_id AS seq, ts, event_type AS role, props AS content FROM events)"
 _O = "o AS (SELECT DISTINCT ON (term_id) * FROM ontology_term)"
