@@ -58,7 +58,8 @@ def nfc(c: Column) -> Column:
 
 def simplify(c: Column) -> Column:
     """Lower case, underscores and dashes as blanks, accents dropped, other signs as blanks, squeezed; blank becomes null."""
-    plain = unicode_form("NFKD", keep_marks=False)(F.regexp_replace(F.lower(c), "[_-]", " "))
+    low = F.regexp_replace(F.lower(c), "[_-]", " ")
+    plain = F.when(low.rlike("^[\\x00-\\x7F]*$"), low).otherwise(unicode_form("NFKD", keep_marks=False)(low))
     return squeeze(F.regexp_replace(plain, "[^a-z0-9 ]", " "))
 
 

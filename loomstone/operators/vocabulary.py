@@ -61,17 +61,31 @@ def harvest(texts: DataFrame, key: str, text: str, patterns: list[tuple[str, str
     return texts.select(key, F.explode(found).alias("h")).select(key, "h.slot", "h.term").distinct()
 
 
-def support(terms: DataFrame, texts: DataFrame, key: str, text: str, longest: int = 4) -> DataFrame:
-    """`(term, support)`: how many texts hold each term as whole words.
+def grams(words: Column, longest: int) -> Column:
+    """All runs of one to `longest` words, joined with blanks, each once."""
+    none = F.array().cast("array<string>")
+    runs = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(none))
+    return F.array_distinct(F.flatten(runs))
 
-    The texts' word n-grams, distinct within a text, meet the terms in an equi-join, so neither
-    side is compared with all of the other.
+
+def support(terms: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """`(term, support)`: how many texts hold each term as whole words, or are the term once blanks are left out.
+
+    The texts' word n-grams, distinct within a text and as long as the longest term, meet the
+    terms in an equi-join, so neither side is compared with all of the other. A key with several
+    texts counts once.
     """
+    plain = squeeze(F.regexp_replace(F.lower("term"), r"[^\p{L}\p{N}]+", " "))
+    wanted = terms.select(plain.alias("term")).where("term is not null").distinct()
+    longest = wanted.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))))
-    found = texts.select(key, F.explode(F.array_distinct(grams)).alias("term"))
-    wanted = terms.select(squeeze(F.regexp_replace(F.lower("term"), r"[^\p{L}\p{N}]+", " ")).alias("term")).where("term is not null").distinct()
-    return wanted.join(found, "term", "left").groupBy("term").agg(F.count(key).alias("support"))
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), words.alias("w"))
+    phrases = rows.select("_key", F.explode(grams(F.col("w"), int(longest))).alias("term"))
+    found = wanted.join(phrases, "term")
+    whole = rows.select("_key", F.array_join("w", "").alias("compact")).where("compact <> ''")
+    same = wanted.withColumn("compact", F.replace("term", F.lit(" "), F.lit(""))).join(whole, "compact").select("term", "_key")
+    counts = found.select("term", "_key").unionByName(same).distinct().groupBy("term").agg(F.count("*").alias("support"))
+    return wanted.join(counts, "term", "left").select("term", F.coalesce("support", F.lit(0).cast("long")).alias("support"))
 
 
 def seed_terms(rows: DataFrame) -> DataFrame:

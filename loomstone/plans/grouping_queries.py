@@ -233,6 +233,7 @@ ORACLES = {
     "dhash_proxy": _H + " SELECT season, count(*)::INT AS cluster_size, round(avg(greatest(0.0, 1 - dist / 64.0)), 4) AS avg_similarity, round(max(dist) / 64.0, 4)::DOUBLE AS max_pairwise_distance, CASE WHEN max(dist) <= 2 THEN 'high' WHEN max(dist) <= 6 THEN 'medium' ELSE 'low' END AS cluster_confidence FROM d WHERE dist <= 10 GROUP BY season",
     "bundles": f"WITH {ITEMS_SQL}, b AS (SELECT id, sha1(CASE WHEN replace({_KEY}, '|', '') = '' THEN coalesce(source_path, '') ELSE {_KEY} END) AS bundle, trim(object) AS v FROM items), f AS (SELECT bundle, v, min(id) AS o FROM b WHERE v <> '' GROUP BY 1, 2), x AS (SELECT bundle, string_agg(v, ' | ' ORDER BY o, v) AS texts FROM f GROUP BY 1) SELECT bundle, count(*) AS n_items, any_value(texts) AS texts FROM b LEFT JOIN x USING (bundle) GROUP BY 1",
     "harvest_terms": "SELECT slot, term, count(*) AS n_documents FROM documents JOIN (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in vocabulary.PATTERNS) + ") p(slot, term, pat) ON regexp_matches(lower(text), pat) GROUP BY 1, 2",
+    "support_count": f"WITH {ITEMS_SQL}, d AS (SELECT id, regexp_replace(lower(llm_description), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') AS h FROM items WHERE llm_description <> ''), t AS (SELECT DISTINCT trim(regexp_replace(lower(term), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS term FROM canonical_term WHERE term IS NOT NULL) SELECT term, count(id) AS support FROM t LEFT JOIN d ON contains(' ' || h || ' ', ' ' || term || ' ') OR replace(h, ' ', '') = replace(term, ' ', '') WHERE term <> '' GROUP BY 1",
     "seed_terms": _S + " SELECT slot, term, n_sources, n_groups, base_score FROM s",
     "external_rank": _S + ", k AS (SELECT DISTINCT slot, lower(term) AS term FROM canonical_term), x AS (SELECT s.slot, s.term, (base_score + 3 * n_groups + n_sources + least(least(n_sources, 6), 6) + CASE WHEN k.term IS NOT NULL THEN 5 WHEN n_sources > 0 THEN 3 ELSE 0 END)::INT AS score FROM s LEFT JOIN k ON k.slot = s.slot AND k.term = s.term), r AS (SELECT *, (row_number() OVER (PARTITION BY slot ORDER BY score DESC, term))::INT AS rank FROM x) SELECT * FROM r WHERE rank <= 16",
     "slot_normalise": f"WITH {_O} SELECT term_id, coalesce(y.c, lower(trim(term))) AS canonical FROM o LEFT JOIN {_SYN} ON y.slot = o.slot AND y.f = lower(trim(term)) WHERE list_name = 'archive_keywords'",

@@ -5,7 +5,7 @@ from importlib import import_module
 import pytest
 from oracles import check
 
-MODULES = [import_module(f"loomstone.plans.{m}_queries") for m in ("packed", "browse", "retrieval", "sequence", "grouping", "assembly", "streaming")]
+MODULES = [import_module(f"loomstone.plans.{m}_queries") for m in ("packed", "browse", "retrieval", "sequence", "grouping", "assembly", "ontology", "streaming")]
 WITH_SQL = [(n, m) for m in MODULES for n in getattr(m, "ORACLES", {})]
 WITHOUT = [(n, m) for m in MODULES for n in m.QUERIES if n not in getattr(m, "ORACLES", {})]
 
