@@ -15,6 +15,7 @@ from loomstone.plans.lineage import cut, drop
 
 
 _KEYS = ["g", "i", "j"]
+_PARTS = 16
 
 
 def _blocked(rows: DataFrame, group: str, key: str, vector: str, size: int) -> DataFrame:
@@ -72,8 +73,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         seen = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
         lower = labels.join(seen, "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        own = lower.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        jumped = cut(lower.join(own, "comp").select("id", "old", F.least("comp", "up").alias("comp")), "labels")
+        # many rows share a label: only the labels' own rows are looked up, in parts of each label
+        tops = lower.select("comp").distinct().withColumnRenamed("comp", "id").join(lower.select("id", F.col("comp").alias("up")), "id")
+        part = F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("_part")
+        own = tops.select(F.col("id").alias("comp"), "up", part)
+        parted = lower.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(_PARTS)).cast("int"))
+        jumped = cut(parted.join(own, ["comp", "_part"]).select("id", "old", F.least("comp", "up").alias("comp")), "labels")
         done = jumped.where("old <> comp").isEmpty()
         drop(labels)
         labels = jumped.select("id", "comp")
@@ -129,11 +134,27 @@ def metrics(members: DataFrame, vectors: DataFrame, key: str, vector: str, *, si
     return out.select("cluster", "cluster_size", F.round(F.coalesce("s", F.lit(1.0)), 4).alias("avg_similarity"), F.round(F.coalesce("d", F.lit(0.0)), 4).alias("max_pairwise_distance"))
 
 
+def numbered(rows: DataFrame, group: str, order: list[str], out: str, *, parts: int = 64) -> DataFrame:
+    """Rows of each group numbered from 0 in an order, without sorting a group in one task.
+
+    A range partitioning splits the groups; rows are numbered within their range, and the ranges'
+    sizes, a few rows per group, are added up.
+    """
+    placed = rows.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order).withColumn("_part", F.spark_partition_id())
+    placed = cut(placed, "ranges")
+    size = placed.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = size.select(group, "_part", before.alias("_before"))
+    w = Window.partitionBy(group, "_part").orderBy(*order)
+    nth = (F.row_number().over(w) - 1 + F.col("_before")).cast("int")
+    return placed.join(size, [group, "_part"]).withColumn(out, nth).drop("_part", "_before")
+
+
 def registry(members: DataFrame, measured: DataFrame, group: str, key: str) -> DataFrame:
-    """One row per cluster: a numbered name within its group, members in order, metrics and confidence."""
+    """One row per cluster: a numbered name within its group, clusters before single members, members in order, metrics and confidence."""
     rows = members.groupBy(group, "cluster").agg(F.array_join(F.sort_array(F.collect_list(F.col(key).cast("string"))), " ").alias("members"), F.bool_or("reclustered").alias("reclustered"))
-    w = Window.partitionBy(group).orderBy("cluster")
-    named = rows.join(measured, "cluster").withColumn("nth", F.row_number().over(w) - 1)
+    both = rows.join(measured, "cluster").withColumn("_single", F.col("cluster_size") == 1)
+    named = numbered(both, group, ["_single", "cluster"], "nth")
     sure = confidence(F.col("cluster_size"), F.col("reclustered"), F.col("avg_similarity"), F.col("max_pairwise_distance"))
     return named.select(
         F.format_string("%s_cluster_%03d", F.col(group), F.col("nth")).alias("cluster_name"), group, "members", "cluster_size", "reclustered",

@@ -11,23 +11,28 @@ from loomstone.operators.retrieval import first_of
 EXACT, NEAR, EXPAND = 6, 14, 10
 
 
+SALTS = 16
+
+
+def _met(queries: DataFrame, candidates: DataFrame, scope: list[str], key: str, hash_: str) -> DataFrame:
+    """Queries beside the candidates of their scope. Candidates are spread over parts of a scope and queries go to each, so no scope is one task."""
+    q = queries.select(*scope, F.col(key).alias("query"), F.col(hash_).alias("qh"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
+    c = candidates.select(*scope, F.col(key).alias("cand"), F.col(hash_).alias("ch"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_part"))
+    return q.join(c, [*scope, "_part"]).where("query <> cand").withColumn("dist", hamming(F.col("qh"), F.col("ch")))
+
+
 def nearest_hash(queries: DataFrame, candidates: DataFrame, scope: list[str], key: str, hash_: str) -> DataFrame:
     """`(*scope, query, match, dist)`: the candidate of the scope with the least distance; ties go to the lesser key.
 
     A stated query set meets all candidates of its scope; the minimum is taken before the shuffle.
     """
-    q = queries.select(*scope, F.col(key).alias("query"), F.col(hash_).alias("qh"))
-    c = candidates.select(*scope, F.col(key).alias("cand"), F.col(hash_).alias("ch"))
-    best = F.min(F.struct(hamming(F.col("qh"), F.col("ch")).alias("dist"), F.col("cand").alias("match")))
-    return q.join(c, scope).where("query <> cand").groupBy(*scope, "query").agg(best.alias("b")).select(*scope, "query", "b.match", "b.dist")
+    best = F.min(F.struct("dist", F.col("cand").alias("match")))
+    return _met(queries, candidates, scope, key, hash_).groupBy(*scope, "query").agg(best.alias("b")).select(*scope, "query", "b.match", "b.dist")
 
 
 def within_radius(queries: DataFrame, candidates: DataFrame, scope: list[str], key: str, hash_: str, radius: int = EXPAND) -> DataFrame:
     """`(*scope, query, cand, dist)` of the candidates within the radius."""
-    q = queries.select(*scope, F.col(key).alias("query"), F.col(hash_).alias("qh"))
-    c = candidates.select(*scope, F.col(key).alias("cand"), F.col(hash_).alias("ch"))
-    dist = hamming(F.col("qh"), F.col("ch"))
-    return q.join(c, scope).where((F.col("query") != F.col("cand")) & (dist <= radius)).select(*scope, "query", "cand", dist.alias("dist"))
+    return _met(queries, candidates, scope, key, hash_).where(F.col("dist") <= radius).select(*scope, "query", "cand", "dist")
 
 
 def match_kind(dist: Column) -> Column:

@@ -26,41 +26,58 @@ def nearest(rows: DataFrame, vector: str, query: list[float], k: int, condition:
     return near.where("distance is not null").orderBy("distance", key).limit(k)
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, size: int, n: int) -> DataFrame:
-    """Rows gathered in blocks of about `size`, by hash."""
-    at = F.pmod(F.xxhash64(F.lit("block"), key), F.lit(max(1, -(-n // size))))
-    return rows.groupBy(at.alias("blk")).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"))).alias("rows"))
+#: Bytes of query vectors that are sent to all executors at once.
+QUERY_BYTES = 64 << 20
 
 
-def nearest_to_each(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, *, size: int = 2048, digits: int = 6) -> DataFrame:
+def nearest_to_each(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, *, most_bytes: int = QUERY_BYTES, digits: int = 6) -> DataFrame:
     """`(query, key, distance, rank)`: for each query row the k nearest of all rows.
 
-    A stated query set is compared with all rows in blocks: each pair of a query block and a row
-    block is one matrix product that leaves k rows per query, and the blocks' winners are ranked.
+    A stated query set is compared with all rows in blocks: a block of queries of at most
+    `most_bytes` is broadcast and the rows stream past it once, in matrix products, so the rows
+    are never shuffled; a task keeps k rows per query, and the tasks' winners are ranked. Null,
+    all-zero vectors and those of another length than most queries' match nothing; ties go to the
+    lesser key.
     """
-    usable = lambda df: df.where(F.exists(vector, lambda x: x != 0)).select(key, vector)
-    queries, rows = usable(queries), usable(rows)
-    a = _blocks(queries, key, vector, size, queries.count()).select(F.col("rows").alias("qs"))
-    b = _blocks(rows, key, vector, size, rows.count()).select(F.col("rows").alias("rs"))
+    usable = lambda df: df.where(F.exists(vector, lambda x: x != 0)).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"))
+    asked, spark = usable(queries), rows.sparkSession
+    sizes = asked.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    empty = spark.createDataFrame([], "query long, key long, distance double, rank int")
+    if not sizes:
+        return empty
+    n_dims, n = sizes[0]["n"], sizes[0]["count"]
+    n_blocks = -(-n * n_dims * 8 // most_bytes)
+    asked = asked.where(F.size("v") == n_dims).withColumn("blk", F.pmod(F.xxhash64(F.lit("block"), "k"), F.lit(n_blocks)))
+    found = None
+    for b in range(n_blocks):
+        block = asked.where(F.col("blk") == b).orderBy("k").select("k", "v").toPandas()  # of a size that was checked
+        if not len(block):
+            continue
+        x = np.stack(block["v"].to_numpy()).astype(np.float64)
+        shared = spark.sparkContext.broadcast((block["k"].to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True)))
+        part = usable(rows).where(F.size("v") == n_dims).mapInPandas(_best_of(shared, k, digits), "query long, key long, distance double")
+        found = part if found is None else found.unionByName(part)
+    w = Window.partitionBy("query").orderBy("distance", "key")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    def matrix(block) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([r["k"] for r in block])
-        x = np.array([r["v"] for r in block], np.float64)
-        return ids, x / np.linalg.norm(x, axis=1, keepdims=True)
 
+def _best_of(shared, k: int, digits: int):
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        keys, dist = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
         for batch in batches:
-            for qs, rs in zip(batch["qs"], batch["rs"]):
-                (qi, q), (ri, r) = matrix(qs), matrix(rs)
-                d = np.round(1 - q @ r.T, digits) + 0.0
-                order = np.lexsort((np.broadcast_to(ri, d.shape), d), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pd.DataFrame({"query": np.repeat(qi, n), "key": ri[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
-
-    pairs = a.crossJoin(b).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    w = Window.partitionBy("query").orderBy("distance", "key")
-    found = pairs.mapInPandas(best, "query long, key long, distance double")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            for at in range(0, len(batch), 4096):
+                b = batch.iloc[at : at + 4096]
+                r = np.stack(b["v"].to_numpy()).astype(np.float64)
+                d = np.round(1 - q @ (r / np.linalg.norm(r, axis=1, keepdims=True)).T, digits) + 0.0
+                keys = np.concatenate([keys, np.broadcast_to(b["k"].to_numpy(), d.shape)], axis=1)
+                dist = np.concatenate([dist, d], axis=1)
+                order = np.lexsort((keys, dist), axis=1)[:, :k]
+                keys, dist = np.take_along_axis(keys, order, 1), np.take_along_axis(dist, order, 1)
+        if keys.shape[1]:
+            yield pd.DataFrame({"query": np.repeat(ids, keys.shape[1]), "key": keys.ravel(), "distance": dist.ravel()})
+
+    return best
 
 
 def topped_up(filtered: DataFrame, others: DataFrame, path: str, rank: str, count: int, least: int) -> DataFrame:
@@ -83,6 +100,22 @@ def tag_score(tags: Column, description: Column, year: Column, context: str) ->
     return (hits + F.coalesce(dated, F.lit(0)) + F.floor(shared / 5)).cast("int")
 
 
+def ranked_candidates(scored: DataFrame, candidates: DataFrame, path: str, most: int = 3) -> DataFrame:
+    """The candidates of the best scored items, in the order of score and then of the candidates' own rank; without any, the first candidates.
+
+    `scored` has `(path, score)`, `candidates` `(path, rank)` and what else is to be shown.
+    """
+    both = candidates.join(scored.select(path, "score"), path, "left").withColumn("_none", F.when(F.col("score").isNull(), 1).otherwise(0))
+    any_scored = scored.join(candidates.select(path), path, "left_semi").limit(1).agg((F.count("*") > 0).alias("_any"))
+    rows = both.crossJoin(F.broadcast(any_scored)).where(~F.col("_any") | F.col("score").isNotNull())  # one row
+    return rows.orderBy("_none", F.desc("score"), "rank").limit(most).drop("_none", "_any")
+
+
+def referenced(images: DataFrame, index: int, order: str) -> DataFrame:
+    """The image of a 1-based number in the shown order; none for a number outside."""
+    return images.orderBy(order).offset(index - 1).limit(1) if index >= 1 else images.limit(0)
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -33,7 +33,7 @@ def eps_components(spark, sf_dir):
 
 def _refined(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = cut(_images(spark, sf_dir), "images")
-    return rows, cut(grouping.refined(rows, "season", "id", "embedding", EPS, most=4, factor=0.3), "refined")
+    return rows, cut(grouping.refined(rows, "season", "id", "embedding", EPS, most=4, factor=0.7), "refined")
 
 
 def recluster(spark, sf_dir):
@@ -210,7 +210,7 @@ def _comp(edges: str, name: str) -> str:
 
 _R = (
     f"WITH RECURSIVE {_E}, {_comp('e', 'c')}, z AS (SELECT comp FROM c GROUP BY 1 HAVING count(*) > 4), g AS (SELECT id, comp FROM c WHERE comp IN (SELECT comp FROM z)),"
-    f" e2 AS (SELECT e.a, e.b FROM e JOIN g ON g.id = e.a WHERE e.d <= 0.036), {_comp('e2', 'k')}, k4 AS (SELECT comp FROM k GROUP BY 1 HAVING count(*) <= 4),"
+    f" e2 AS (SELECT e.a, e.b FROM e JOIN g ON g.id = e.a WHERE e.d <= 0.084), {_comp('e2', 'k')}, k4 AS (SELECT comp FROM k GROUP BY 1 HAVING count(*) <= 4),"
     " m AS (SELECT i.season, i.id, CASE WHEN g.id IS NOT NULL THEN coalesce(k.comp, i.id) ELSE coalesce(c.comp, i.id) END AS cluster, g.id IS NOT NULL AS reclustered FROM images i LEFT JOIN c ON c.id = i.id LEFT JOIN g ON g.id = i.id LEFT JOIN k ON k.id = i.id AND k.comp IN (SELECT comp FROM k4) WHERE i.season IS NOT NULL)"
 )
 _M = _R + ", p AS (SELECT x.cluster, list_cosine_distance(a.v, b.v) AS d FROM m x JOIN m y ON x.cluster = y.cluster AND x.id < y.id JOIN images a ON a.id = x.id JOIN images b ON b.id = y.id), q AS (SELECT cluster, avg(1 - d) AS s, max(d) AS d FROM p GROUP BY 1), n AS (SELECT cluster, count(*)::INT AS cluster_size FROM m GROUP BY 1), t AS (SELECT n.cluster, cluster_size, round(coalesce(s, 1.0), 4) AS avg_similarity, round(greatest(coalesce(d, 0.0), 0.0), 4) AS max_pairwise_distance FROM n LEFT JOIN q USING (cluster))"
@@ -226,7 +226,7 @@ ORACLES = {
     "eps_components": f"WITH RECURSIVE {_E}, {_comp('e', 'c')} SELECT season, id, comp FROM images LEFT JOIN c USING (id) WHERE season IS NOT NULL",
     "recluster": _R + " SELECT season, id, cluster, reclustered FROM m",
     "cluster_metrics": _M + " SELECT * FROM t",
-    "cluster_registry": _M + ", g2 AS (SELECT season, cluster, string_agg(id, ' ' ORDER BY id) AS members, bool_or(reclustered) AS reclustered FROM m GROUP BY 1, 2) SELECT season || '_cluster_' || lpad((row_number() OVER (PARTITION BY season ORDER BY cluster) - 1)::VARCHAR, 3, '0') AS cluster_name, season, members, cluster_size, reclustered, avg_similarity, max_pairwise_distance, CASE WHEN cluster_size >= 2 AND (max_pairwise_distance > 0.35 OR avg_similarity < 0.70) THEN 'low' WHEN cluster_size = 1 THEN 'high' WHEN cluster_size <= 4 THEN CASE WHEN reclustered THEN 'medium' ELSE 'high' END ELSE 'low' END AS cluster_confidence FROM g2 JOIN t USING (cluster)",
+    "cluster_registry": _M + ", g2 AS (SELECT season, cluster, string_agg(id, ' ' ORDER BY id) AS members, bool_or(reclustered) AS reclustered FROM m GROUP BY 1, 2) SELECT season || '_cluster_' || lpad((row_number() OVER (PARTITION BY season ORDER BY cluster_size = 1, cluster) - 1)::VARCHAR, 3, '0') AS cluster_name, season, members, cluster_size, reclustered, avg_similarity, max_pairwise_distance, CASE WHEN cluster_size >= 2 AND (max_pairwise_distance > 0.35 OR avg_similarity < 0.70) THEN 'low' WHEN cluster_size = 1 THEN 'high' WHEN cluster_size <= 4 THEN CASE WHEN reclustered THEN 'medium' ELSE 'high' END ELSE 'low' END AS cluster_confidence FROM g2 JOIN t USING (cluster)",
     "hamming_1nn": _NN + " SELECT * FROM nn",
     "hamming_buckets": _NN + ", k AS (SELECT *, CASE WHEN dist <= 6 THEN 'exact' WHEN dist <= 14 THEN 'near' ELSE 'unmatched' END AS kind FROM nn) SELECT * FROM k WHERE kind = 'unmatched' UNION ALL SELECT * FROM (SELECT * FROM k WHERE kind <> 'unmatched' QUALIFY row_number() OVER (PARTITION BY season, match ORDER BY query) = 1)",
     "hamming_radius": _H + " SELECT * FROM d WHERE dist <= 10",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomstone.plans.lineage import shared_dir
 from loomstone.sources.files import append_new, json_lines, replace_partitions, write_if_empty
 from loomstone.sources.tables import table
-from loomstone.streaming.ingest import file_stream, ingest_new, last_turns, upsert_latest, windowed_counts
+from loomstone.streaming.ingest import file_stream, ingest_new, last_turns, read_latest, upsert_latest, windowed_counts
 
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -39,7 +39,7 @@ def stream_upsert(spark, sf_dir):
     source, out = _source(spark, sf_dir), _place(spark)
     stream = file_stream(spark, source, _EVENTS).select("user_id", F.struct("ts", "event_id").alias("seq"), "event_id", "event_type")
     upsert_latest(stream, "user_id", "seq", f"{out}/rows", f"{out}/checkpoint")
-    return spark.read.parquet(spark.read.text(f"{out}/rows/current").first()[0]).select("user_id", "event_id", "event_type")
+    return read_latest(spark, f"{out}/rows").select("user_id", "event_id", "event_type")
 
 
 def _run(spark, stream: DataFrame, mode: str) -> DataFrame:

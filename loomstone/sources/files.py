@@ -43,7 +43,8 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.substring_index(F.col("_metadata.file_name"), ".", 1).alias("name"), F.col("value").alias("text"))
 
 
-IMAGES = ("jpg", "jpeg", "png", "webp", "tif")
+#: The extensions of images.
+IMAGES = ("jpg", "jpeg", "png", "gif", "webp")
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

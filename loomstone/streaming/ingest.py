@@ -20,28 +20,64 @@ def ingest_new(stream: DataFrame, out: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_latest(stream: DataFrame, key: str, seq: str, out: str, checkpoint: str) -> None:
+def upsert_latest(stream: DataFrame, key: str, seq: str, out: str, checkpoint: str, buckets: int = 64) -> None:
     """Keep the latest row of each key in a table, micro-batch by micro-batch.
 
-    Each batch writes a new version beside the old one and then points to it, so a failed batch
-    leaves the old version in place.
+    The table is partitioned by a hash of the key. A batch rewrites only the buckets its keys are
+    in, into new folders of its own number; a list of each bucket's current folder is written
+    last, so a failed batch leaves the old rows in place and a repeated one gives the same. Folders
+    that no list names any more are removed, but for those of the list before.
     """
-    from loomstone.sources.files import first_existing
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        pointer = f"{out}/current"
-        old = spark.read.text(pointer).first()[0] if first_existing(spark, [pointer]) else None
-        rows = batch.unionByName(spark.read.parquet(old)) if old else batch
-        columns = [c for c in rows.columns if c != key]
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.col(seq)).alias("r")).select(key, "r.*")
-        version = f"{out}/v{number}"
-        latest.write.mode("overwrite").parquet(version)
-        spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+        lists = _numbers(spark, f"{out}/lists")
+        done = max((n for n in lists if n < number), default=None)
+        current = {} if done is None else {r.bucket: r.number for r in spark.read.parquet(f"{out}/lists/{done}").collect()}  # one row per bucket
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+        old = [f"{out}/rows/{current[b]}/bucket={b}" for b in touched if b in current]
+        if old:
+            rows = rows.unionByName(spark.read.option("basePath", f"{out}/rows").schema(batch.schema).parquet(*old).select(*batch.columns).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+        columns = [c for c in batch.columns if c != key]
+        latest = rows.groupBy("bucket", key).agg(F.max_by(F.struct(*columns), F.col(seq)).alias("r")).select("bucket", key, "r.*")
+        latest.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/rows/{number}")
+        listed = current | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(listed.items()), "bucket int, number long").coalesce(1).write.mode("overwrite").parquet(f"{out}/lists/{number}")
+        for n in lists:  # the list before stays for readers
+            if done is not None and n < done:
+                _remove(spark, f"{out}/lists/{n}")
+        for n in _numbers(spark, f"{out}/rows"):
+            if n not in {*listed.values(), *current.values()}:
+                _remove(spark, f"{out}/rows/{n}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def read_latest(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of a table that upsert_latest() keeps, by its newest list."""
+    newest = max(_numbers(spark, f"{out}/lists"))
+    folders = [f"{out}/rows/{r.number}/bucket={r.bucket}" for r in spark.read.parquet(f"{out}/lists/{newest}").collect()]
+    return spark.read.parquet(*folders)
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers that name folders within a folder."""
+    at, fs = _folder(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return [int(n) for n in names if n.isdigit()]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)
+
+
 def windowed_counts(events: DataFrame, at: str, by: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts by event time window; rows later than the watermark are dropped."""
     timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
