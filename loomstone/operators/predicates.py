@@ -60,7 +60,26 @@ class FilterSpec:
             conditions += [F.col(text).contains(n) for n in self.contains if n]
         return all_of(conditions)
 
-    def with_anchor(self, anchor: dict) -> FilterSpec:
-        """Filters taken from a reference item, before the own ones: its season and year, and its first colour, material and garment as substrings."""
-        first = [anchor[f][0] for f in ("colors_tags", "material_tags", "garments_tags") if anchor.get(f)]
-        return FilterSpec({k: anchor[k] for k in ("season", "year") if anchor.get(k)} | self.equal, self.tags, first + self.contains)
+    def with_anchor(self, anchor: dict, attributes: list[str] | None = None) -> FilterSpec:
+        """Filters taken from a reference item, before the own ones: its season and year, and its first colour, material and garment as substrings.
+
+        `attributes` names which of season, year, color, material and garment count; none named
+        are all. Values that the item lacks are passed over.
+        """
+        wanted = set(attributes or ("season", "year", "color", "material", "garment"))
+        tags = [("color", "colors_tags"), ("material", "material_tags"), ("garment", "garments_tags")]
+        first = [anchor[f][0] for a, f in tags if a in wanted and anchor.get(f)]
+        scalars = [("season", "season_path"), ("year", "year_path")]
+        return FilterSpec({k: anchor[k] for a, k in scalars if a in wanted and anchor.get(k)} | self.equal, self.tags, first + self.contains)
+
+    @staticmethod
+    def by_picture(attributes: list[str] | None) -> bool:
+        """Whether a reference picture's own vector is searched with: not if only its season or year is asked for."""
+        return not attributes or bool(set(attributes) - {"season", "year"})
+
+    @classmethod
+    def from_arguments(cls, arguments: dict) -> FilterSpec:
+        """Filters out of a model's arguments: season and year as equalities, tag lists as substrings of the document; other arguments are passed over."""
+        equal = {f"{k}_path": str(arguments[k]) for k in ("season", "year") if arguments.get(k)}
+        contains = [t for k, v in arguments.items() if k.endswith("_tags") for t in (v if isinstance(v, list) else [v]) if t]
+        return cls(equal=equal, contains=contains)

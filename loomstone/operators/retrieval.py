@@ -100,6 +100,29 @@ def tag_score(tags: Column, description: Column, year: Column, context: str) ->
     return (hits + F.coalesce(dated, F.lit(0)) + F.floor(shared / 5)).cast("int")
 
 
+NOTHING_FOUND = "No results were found."
+
+
+def joined_text(hits: DataFrame, rank: str, text: str, most: int = 100) -> DataFrame:
+    """`(text)`: the texts of the hits of a search, at most `most`, in order with blank lines between them, or a message if there are none."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(text).alias("t"))))
+    return hits.orderBy(rank).limit(most).agg(F.coalesce(F.nullif(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n"), F.lit("")), F.lit(NOTHING_FOUND)).alias("text"))
+
+
+def dispatched(calls: list[tuple[str, dict]], tools: dict, rank: str = "rank", text: str = "text") -> list[tuple[str, DataFrame]]:
+    """The results of named tools, each a function of its arguments that gives hits; unknown names are passed over."""
+    return [(name, joined_text(tools[name](**arguments), rank, text)) for name, arguments in calls if name in tools]
+
+
+def context_block(number: Column) -> Column:
+    """An item's text for a prompt: its number, season, year and line, at most ten tags, and its description. Nulls count as empty."""
+    own = lambda c: F.coalesce(F.col(c), F.lit(""))
+    tags = F.flatten(F.array(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("garments_tags", "colors_tags", "material_tags")]))
+    head = F.concat(F.lit("Image "), number.cast("string"), F.lit(" — "), own("season_path"), F.lit(" ("), own("year_path"), F.lit("), "), own("collection_line"))
+    listed = F.when(F.size(tags) > 0, F.concat(F.lit("\n  Tags: "), F.array_join(F.slice(tags, 1, 10), ", "))).otherwise("")
+    return F.concat(head, listed, F.lit("\n  Description: "), F.coalesce(F.nullif("llm_description", F.lit("")), F.lit("(no description available)")))
+
+
 def ranked_candidates(scored: DataFrame, candidates: DataFrame, path: str, most: int = 3) -> DataFrame:
     """The candidates of the best scored items, in the order of score and then of the candidates' own rank; without any, the first candidates.
 

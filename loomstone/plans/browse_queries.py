@@ -102,11 +102,14 @@ def tag_document(spark, sf_dir):
     return items(spark, sf_dir, "source_path", *TAGS).select("id", F.coalesce(F.nullif(joined, F.lit("")), paths.basename(F.col("source_path"))).alias("document"))
 
 
+SCALARS = ["collection_line", "season_path", "year_path", "asset_type", "season", "label", "acquisition", "look", "file", "inventory", "object", "source", "description", "exhibitions", "size", "materials", "present_location", "remark", "bibliography", "designer", "working_process", "condition", "collection", "year", "llm_description", "pdf_available", "cluster_id", "outfit_id"]
+
+
 def store_metadata(spark, sf_dir):
-    """Scalars as texts with empty ones for nulls, tag lists joined."""
-    scalars = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("season", "designer", "year", "object")]
-    lists = [F.coalesce(F.array_join(t, ", "), F.lit("")).alias(t) for t in TAGS[:3]]
-    return items(spark, sf_dir, "season", "designer", "year", "object", *TAGS[:3]).select("id", *scalars, *lists)
+    """28 scalars as texts with empty ones for nulls, 11 tag lists joined."""
+    scalars = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in SCALARS]
+    lists = [F.coalesce(F.array_join(t, ", "), F.lit("")).alias(t) for t in TAGS]
+    return items(spark, sf_dir, *SCALARS, *TAGS).select("id", *scalars, *lists)
 
 
 def tag_normalise(spark, sf_dir):
@@ -198,7 +201,7 @@ ORACLES = {
     "items_in_lookup": f"WITH {ITEMS_SQL}, w AS (SELECT DISTINCT {PATH_SQL.format('p')} AS path FROM (SELECT unnest(image_paths) AS p FROM cluster_registry WHERE season LIKE 'SS%')), i AS (SELECT id, {PATH_SQL.format('source_path')} AS path FROM items) SELECT id, path FROM i WHERE path IN (SELECT path FROM w)",
     "whitelist_seed": f"WITH {ITEMS_SQL} SELECT id, source_path, season, asset_type, cluster_id FROM items WHERE asset_type = 'runway'",
     "tag_document": f"WITH {ITEMS_SQL} SELECT id, coalesce(nullif(array_to_string(flatten([{', '.join(f'coalesce({t}, [])' for t in TAGS)}]), ' '), ''), regexp_extract(source_path, '([^/\\\\]*)$', 1)) AS document FROM items",
-    "store_metadata": f"WITH {ITEMS_SQL} SELECT id, coalesce(season, '') AS season, coalesce(designer, '') AS designer, coalesce(year, '') AS year, coalesce(object, '') AS object, " + ", ".join(f"coalesce(array_to_string({t}, ', '), '') AS {t}" for t in TAGS[:3]) + " FROM items",
+    "store_metadata": f"WITH {ITEMS_SQL} SELECT id, " + ", ".join(f"coalesce({c}, '') AS {c}" for c in SCALARS) + ", " + ", ".join(f"coalesce(array_to_string({t}, ', '), '') AS {t}" for t in TAGS) + " FROM items",
     "tag_normalise": f"WITH {ITEMS_SQL}, e AS (SELECT id, lower(trim(t)) AS t, pos FROM (SELECT id, unnest(garments_tags) AS t, generate_subscripts(garments_tags, 1) AS pos FROM items)), f AS (SELECT id, t, min(pos) AS pos FROM e WHERE t IN (SELECT lower(term) FROM canonical_term WHERE slot = 'garments') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM f) SELECT i.id, coalesce(string_agg(t, ',' ORDER BY pos), '') AS tags FROM items i LEFT JOIN r ON r.id = i.id AND k <= 5 GROUP BY 1",
     "status_of_fields": f"WITH {ITEMS_SQL}, b AS (SELECT id, {', '.join(f'({_blank.format(c)})::INT AS b{i}' for i, c in enumerate(('object', 'materials', 'description')))} FROM items) SELECT id, CASE b0 + b1 + b2 WHEN 0 THEN 'available' WHEN 3 THEN 'empty' ELSE 'incomplete' END AS status FROM b",
     "name_hashes": "SELECT doc_id, substr(sha256(doc), 1, 16) || '-' || doc_id AS chunk_id, md5(doc) AS md5_hex, sha1(doc) AS sha1_hex FROM documents",

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.functions.vectors import cosine_distance
+from loomstone.functions.paths import same_path
 from loomstone.operators.predicates import FilterSpec, contains_all, parse_filters, where_equal
-from loomstone.operators.retrieval import nearest, nearest_to_each, tag_score, topped_up, unique_sources
+from loomstone.operators.retrieval import context_block, first_of, joined_text, nearest, nearest_to_each, ranked_candidates, referenced, tag_score, topped_up, unique_sources
 from loomstone.plans.archive import IMAGES_SQL, ITEMS_SQL, PATH_SQL, images, items
 from loomstone.sources.tables import table
 
+TAGS = ("garments_tags", "colors_tags", "material_tags", "patterns_tags", "silhouette_tags", "length_tags", "neckline_tags", "sleeve_tags", "closure_tags", "embellishment_tags", "style_tags")
 CONTEXT = "silk jacket with beading and a velvet coat from 1996, shown in red and black"
 
 
@@ -54,8 +55,6 @@ def image_search(spark, sf_dir):
     anchor = rows.orderBy("id").select("embedding", "season").first()
     spec = FilterSpec(equal={"season": anchor["season"]}) if anchor else FilterSpec()
     near = nearest(rows, "embedding", list(anchor["embedding"]) if anchor else [0.0], 15, spec.condition())
-    from loomstone.functions.paths import same_path
-
     own = items(spark, sf_dir, "source_path").withColumn("path", same_path(F.col("source_path")))
     return near.join(own.select(F.col("id").alias("item_id"), "path"), "path", "left").select("id", "item_id", "distance")
 
@@ -70,11 +69,6 @@ def contains_both(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "text").where(contains_all("text", ["giacca", "seta"])).select("doc_id")
 
 
-def _hits(spark, sf_dir, label: int, most: int) -> DataFrame:
-    rows = _vectors(spark, sf_dir).withColumn("distance", F.round(cosine_distance(F.col("embedding"), F.array(*[F.lit(x) for x in _query_vector(spark, sf_dir)])), 6))
-    return rows.where((F.col("label") == label) & (F.col("distance") < 0.8)).orderBy("distance", "vec_id").limit(most).select("vec_id", "label", "distance")
-
-
 def filter_topup(spark, sf_dir):
     """Few filtered hits, topped up to 15 from all."""
     q = _query_vector(spark, sf_dir)
@@ -91,20 +85,23 @@ def filter_enough(spark, sf_dir):
     return topped_up(own, every, "vec_id", "distance", 15, 5).select("vec_id", "label", "distance")
 
 
+SCORED = ("garments_tags", "colors_tags", "material_tags", "patterns_tags", "style_tags", "silhouette_tags", "embellishment_tags")
+
+
 def _scored(spark, sf_dir) -> DataFrame:
-    rows = items(spark, sf_dir, "garments_tags", "colors_tags", "material_tags", "description", "year")
-    tags = F.flatten(F.array(*[F.coalesce(F.filter(c, lambda t: F.trim(t) != ""), F.array().cast("array<string>")) for c in ("garments_tags", "colors_tags", "material_tags")]))
-    return rows.select("id", tag_score(tags, F.col("description"), F.coalesce("year", F.lit("")), CONTEXT).alias("score"))
+    rows = items(spark, sf_dir, *SCORED, "llm_description", "year_path", "source_path")
+    tags = F.flatten(F.array(*[F.coalesce(F.filter(c, lambda t: F.trim(t) != ""), F.array().cast("array<string>")) for c in SCORED]))
+    return rows.select("id", "source_path", tag_score(tags, F.col("llm_description"), F.coalesce("year_path", F.lit("")), CONTEXT).alias("score"))
 
 
 def rerank_score(spark, sf_dir):
     """Every item's score for a context."""
-    return _scored(spark, sf_dir)
+    return _scored(spark, sf_dir).select("id", "score")
 
 
 def rerank_top3(spark, sf_dir):
     """The three best items; ties by id."""
-    return _scored(spark, sf_dir).orderBy(F.desc("score"), "id").limit(3)
+    return _scored(spark, sf_dir).select("id", "score").orderBy(F.desc("score"), "id").limit(3)
 
 
 def sources_top5(spark, sf_dir):
@@ -121,22 +118,71 @@ def union_sources(spark, sf_dir):
 
 
 def anchor_filters(spark, sf_dir):
-    """Items that match the filters taken from a reference item."""
-    rows = items(spark, sf_dir, "season", "colors_tags", "material_tags", "garments_tags", "llm_description")
-    anchor = rows.where("size(colors_tags) > 0 and season is not null").orderBy("id").first()
-    spec = FilterSpec().with_anchor({"season": anchor["season"]} if anchor else {})
-    return rows.where(spec.condition()).select("id", "season")
+    """Items that match the season, first colour and first garment of a reference item, these as substrings of the tags' text."""
+    rows = items(spark, sf_dir, "season_path", "year_path", *TAGS)
+    anchor = rows.where("size(colors_tags) > 0 and size(garments_tags) > 0 and trim(colors_tags[0]) <> '' and trim(garments_tags[0]) <> '' and season_path is not null").orderBy("id").first()
+    spec = FilterSpec().with_anchor(anchor.asDict() if anchor else {}, ["season", "color", "garment"])
+    text = F.array_join(F.flatten(F.array(*[F.coalesce(F.col(t), F.array().cast("array<string>")) for t in TAGS])), " ")
+    return rows.withColumn("document", text).where(spec.condition("document")).select("id", "season_path")
+
+
+def argument_filters(spark, sf_dir):
+    """Items that match a model's arguments."""
+    spec = FilterSpec.from_arguments({"year": 1996, "season": None, "material_tags": ["silk"], "query": "x"})
+    rows = items(spark, sf_dir, "year_path", *TAGS)
+    text = F.array_join(F.flatten(F.array(*[F.coalesce(F.col(t), F.array().cast("array<string>")) for t in TAGS])), " ")
+    return rows.withColumn("document", text).where(spec.condition("document")).select("id")
+
+
+def ranked_images(spark, sf_dir):
+    """The three best scored of fifteen candidate images, in order, else the first three candidates."""
+    near = _candidates(spark, sf_dir).select("path", "rank")
+    scored = _scored(spark, sf_dir).select(same_path(F.col("source_path")).alias("path"), "score")
+    return ranked_candidates(scored, near, "path").select("path", "score")
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    rows = images(spark, sf_dir)
+    anchor = rows.orderBy("id").select("embedding").first()
+    near = nearest(rows, "embedding", list(anchor["embedding"]) if anchor else [0.0], 15)
+    return first_of(near, ["path"], ["distance", "id"]).withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))  # 15 rows
+
+
+def referenced_image(spark, sf_dir):
+    """The second of the candidate images, by its number."""
+    return referenced(_candidates(spark, sf_dir).select("path", "rank"), 2, "rank")
+
+
+def found_text(spark, sf_dir):
+    """The texts of the ten nearest documents' first sentences joined with blank lines, or a message."""
+    rows = table(spark, sf_dir, "documents", "doc_id", "title", "source")
+    hits = rows.where("source = 'oral_history'").orderBy("doc_id").limit(10).select(F.col("doc_id").alias("rank"), F.coalesce("title", F.lit("-")).alias("text"))
+    return joined_text(hits, "rank", "text").unionByName(joined_text(hits.limit(0), "rank", "text"))
+
+
+def attributes_left(spark, sf_dir):
+    """The tags of an item that aren't colours."""
+    rows = items(spark, sf_dir, "garments_tags", "colors_tags")
+    return rows.select("id", F.array_join(F.array_sort(F.array_except(F.coalesce("garments_tags", F.array().cast("array<string>")), F.coalesce("colors_tags", F.array().cast("array<string>")))), "|").alias("left"))
+
+
+def image_context(spark, sf_dir):
+    """Each item's block of text for a prompt: a heading, at most ten tags, a description."""
+    rows = items(spark, sf_dir, "season_path", "year_path", "collection_line", "llm_description", "garments_tags", "colors_tags", "material_tags")
+    return rows.select("id", F.md5(context_block(F.col("id"))).alias("block_md5"))
 
 
-QUERIES = {f.__name__: f for f in (knn, knn_where, knn_and, knn_batch, image_search, contains_one, contains_both, filter_topup, filter_enough, rerank_score, rerank_top3, sources_top5, union_sources, anchor_filters)}
+QUERIES = {f.__name__: f for f in (knn, knn_where, knn_and, knn_batch, image_search, contains_one, contains_both, filter_topup, filter_enough, rerank_score, rerank_top3, sources_top5, union_sources, anchor_filters, argument_filters, ranked_images, referenced_image, found_text, attributes_left, image_context)}
 
 _D = "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, label, round(list_cosine_distance(embedding::DOUBLE[], e), 6) AS distance FROM embeddings, q)"
-_TAGS = "list_concat(list_concat(coalesce(garments_tags, []), coalesce(colors_tags, [])), coalesce(material_tags, []))"
+_TAGS = "flatten([" + ", ".join(f"coalesce({c}, [])" for c in SCORED) + "])"
+_DOC = "array_to_string(flatten([" + ", ".join(f"coalesce({c}, [])" for c in TAGS) + "]), ' ')"
+_CAND = f"WITH {IMAGES_SQL}, {ITEMS_SQL}, an AS (SELECT v FROM images ORDER BY id LIMIT 1), n AS (SELECT i.id, path, round(list_cosine_distance(i.v, an.v), 6) AS distance FROM images i, an ORDER BY 3, 1 LIMIT 15), c AS (SELECT path, row_number() OVER (ORDER BY distance, id) AS rank FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY path ORDER BY distance, id) = 1))"
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"
 _SCORE = f"""WITH {ITEMS_SQL}, s AS (SELECT id,
  (len(list_filter({_TAGS}, lambda t: trim(t) <> '' AND contains(lower('{CONTEXT}'), lower(t))))
- + CASE WHEN coalesce(year, '') <> '' AND contains('{CONTEXT}', year) THEN 2 ELSE 0 END
- + len(list_intersect({_WORDS.format("coalesce(description, '')")}, {_WORDS.format(f"'{CONTEXT}'")})) // 5)::INT AS score FROM items)"""
+ + CASE WHEN coalesce(year_path, '') <> '' AND contains('{CONTEXT}', year_path) THEN 2 ELSE 0 END
+ + len(list_intersect({_WORDS.format("coalesce(llm_description, '')")}, {_WORDS.format(f"'{CONTEXT}'")})) // 5)::INT AS score FROM items)"""
 ORACLES = {
     "knn": _D + " SELECT * FROM d ORDER BY distance, vec_id LIMIT 10",
     "knn_where": _D + " SELECT * FROM d WHERE label = 3 ORDER BY distance, vec_id LIMIT 10",
@@ -151,5 +197,11 @@ ORACLES = {
     "rerank_top3": _SCORE + " SELECT id, score FROM s ORDER BY score DESC, id LIMIT 3",
     "sources_top5": "SELECT coalesce(doc, 'Unknown') AS document, min(doc_id) AS doc_id FROM documents GROUP BY 1 ORDER BY 2 LIMIT 5",
     "union_sources": "SELECT coalesce(doc, 'Unknown') AS document FROM documents WHERE doc_type = 'Letter' UNION SELECT coalesce(doc, 'Unknown') FROM documents WHERE doc_id % 3 = 0",
-    "anchor_filters": f"WITH {ITEMS_SQL} SELECT id, season FROM items WHERE season = (SELECT season FROM items WHERE len(colors_tags) > 0 AND season IS NOT NULL ORDER BY id LIMIT 1)",
+    "anchor_filters": f"WITH {ITEMS_SQL}, a AS (SELECT season_path AS s, colors_tags[1] AS c, garments_tags[1] AS g FROM items WHERE len(colors_tags) > 0 AND len(garments_tags) > 0 AND trim(colors_tags[1]) <> '' AND trim(garments_tags[1]) <> '' AND season_path IS NOT NULL ORDER BY id LIMIT 1) SELECT id, season_path FROM items, a WHERE season_path = s AND contains({_DOC}, c) AND contains({_DOC}, g)",
+    "argument_filters": f"WITH {ITEMS_SQL} SELECT id FROM items WHERE year_path = '1996' AND contains({_DOC}, 'silk')",
+    "referenced_image": _CAND + " SELECT path, rank::INT AS rank FROM c WHERE rank = 2",
+    "ranked_images": _CAND + _SCORE.split("WITH " + ITEMS_SQL)[1].replace("AS (SELECT id,", f"AS (SELECT {PATH_SQL.format('source_path')} AS path,") + ", h AS (SELECT c.path, c.rank, s.score FROM c LEFT JOIN s USING (path)) SELECT path, score FROM h WHERE score IS NOT NULL OR NOT EXISTS (SELECT 1 FROM h WHERE score IS NOT NULL) ORDER BY score DESC, rank LIMIT 3",
+    "found_text": "WITH h AS (SELECT doc_id, coalesce(title, '-') AS t FROM documents WHERE source = 'oral_history' ORDER BY doc_id LIMIT 10) SELECT coalesce(string_agg(t, chr(10) || chr(10) ORDER BY doc_id), 'No results were found.') AS text FROM h UNION ALL SELECT 'No results were found.'",
+    "attributes_left": f"WITH {ITEMS_SQL} SELECT id, array_to_string(list_sort(list_distinct(list_filter(coalesce(garments_tags, []), lambda t: NOT list_contains(coalesce(colors_tags, []), t)))), '|') AS left FROM items",
+    "image_context": f"WITH {ITEMS_SQL}, t AS (SELECT *, flatten([coalesce(garments_tags, []), coalesce(colors_tags, []), coalesce(material_tags, [])]) AS tags FROM items) SELECT id, md5('Image ' || id || ' — ' || coalesce(season_path, '') || ' (' || coalesce(year_path, '') || '), ' || coalesce(collection_line, '') || CASE WHEN len(tags) > 0 THEN chr(10) || '  Tags: ' || array_to_string(tags[1:10], ', ') ELSE '' END || chr(10) || '  Description: ' || coalesce(nullif(llm_description, ''), '(no description available)')) AS block_md5 FROM t",
 }

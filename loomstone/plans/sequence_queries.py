@@ -137,8 +137,8 @@ def missing_anti(spark, sf_dir):
 
 
 def resume_skip(spark, sf_dir):
-    """Clusters of which an image isn't known yet."""
-    known = items(spark, sf_dir, "source_path").select(same_path(F.col("source_path")).alias("path")).distinct()
+    """Clusters of which an image isn't known yet, if those of the backstage aren't."""
+    known = items(spark, sf_dir, "source_path", "asset_type").where("asset_type <> 'backstage'").select(same_path(F.col("source_path")).alias("path")).distinct()
     rows = table(spark, sf_dir, "cluster_registry", "cluster_id", "image_paths").dropDuplicates(["cluster_id"])
     each = rows.select("cluster_id", F.explode("image_paths").alias("p")).select("cluster_id", same_path(F.col("p")).alias("path"))
     return each.join(known, "path", "left_anti").select("cluster_id").distinct()
@@ -187,9 +187,8 @@ def registry_union(spark, sf_dir):
 
 
 def batch_select(spark, sf_dir):
-    """The second batch of 20 clusters in order."""
-    rows = table(spark, sf_dir, "cluster_registry", "cluster_id").distinct()
-    return sequences.batch_of(rows, ["cluster_id"], 20, 2)
+    """The second batch of 500 orders in order."""
+    return sequences.batch_of(table(spark, sf_dir, "orders", "o_orderkey"), ["o_orderkey"], 500, 2)
 
 
 def total_batches(spark, sf_dir):
@@ -198,9 +197,9 @@ def total_batches(spark, sf_dir):
 
 
 def dup_key_check(spark, sf_dir):
-    """Comparable paths that items spell differently."""
-    rows = table(spark, sf_dir, "fashion_item", "source_path").distinct().select(same_path(F.col("source_path")).alias("path_key"))
-    return rows.groupBy("path_key").agg(F.count("*").alias("n")).where("n > 1")
+    """Comparable paths that items and images spell differently."""
+    both = table(spark, sf_dir, "fashion_item", F.col("source_path").alias("p")).unionByName(table(spark, sf_dir, "image_embedding", F.col("path").alias("p"))).where("p is not null").distinct()
+    return both.select(same_path(F.col("p")).alias("path_key")).groupBy("path_key").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def keep_first_paths(spark, sf_dir):
@@ -244,16 +243,16 @@ ORACLES = {
     "enrich_left": f"WITH {ITEMS_SQL}, {_IMG}, {_OWN} SELECT id, i.path, item_id, designer FROM i LEFT JOIN o USING (path)",
     "unmatched_count": f"WITH {ITEMS_SQL}, {_IMG}, {_OWN} SELECT count(*) AS n_images, count_if(item_id IS NULL)::BIGINT AS n_unmatched FROM i LEFT JOIN o USING (path)",
     "missing_anti": f"WITH {ITEMS_SQL}, {_IMG}, {_OWN} SELECT id, path FROM i WHERE path NOT IN (SELECT path FROM o WHERE path IS NOT NULL)",
-    "resume_skip": f"WITH {ITEMS_SQL}, {_OWN}, {_REG}, e AS (SELECT cluster_id, {PATH_SQL.format('p')} AS path FROM (SELECT cluster_id, unnest(image_paths) AS p FROM r)) SELECT DISTINCT cluster_id FROM e WHERE path NOT IN (SELECT path FROM o WHERE path IS NOT NULL)",
+    "resume_skip": f"WITH {ITEMS_SQL}, o AS (SELECT {PATH_SQL.format('source_path')} AS path FROM items WHERE asset_type <> 'backstage'), {_REG}, e AS (SELECT cluster_id, {PATH_SQL.format('p')} AS path FROM (SELECT cluster_id, unnest(image_paths) AS p FROM r)) SELECT DISTINCT cluster_id FROM e WHERE path NOT IN (SELECT path FROM o WHERE path IS NOT NULL)",
     "status_rollup": f"WITH {_REG}, e AS (SELECT cluster_id, pdf_status, unnest(CASE WHEN len(coalesce(pdf_paths, [])) = 0 THEN [NULL] ELSE pdf_paths END) AS pdf FROM r), p AS (SELECT pdf, bool_or(pdf_status = 'available') AS ok FROM e WHERE pdf IS NOT NULL GROUP BY pdf) SELECT cluster_id, CASE WHEN count(e.pdf) = 0 THEN 'missing' WHEN coalesce(bool_or(ok), FALSE) THEN 'available' ELSE 'incomplete' END AS status FROM e LEFT JOIN p USING (pdf) GROUP BY cluster_id",
     "first_match": "SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_part FROM lineitem GROUP BY 1",
     "last_wins": "SELECT id, strftime(max(loaded_at), '%Y-%m-%d %H:%M:%S') AS loaded FROM fashion_item GROUP BY id",
     "explode_images": f"WITH {_REG} SELECT cluster_id, (generate_subscripts(image_paths, 1) - 1)::INT AS pos, unnest(image_paths) AS image_path FROM r",
     "image_map_priority": f"WITH {_REG}, e AS (SELECT cluster_id, unnest(image_paths) AS image_path, CASE WHEN reclustered THEN 0 ELSE 1 END AS prio FROM r) SELECT cluster_id, image_path, prio FROM e QUALIFY row_number() OVER (PARTITION BY image_path ORDER BY prio, cluster_id) = 1",
     "registry_union": f"WITH {_REG} SELECT cluster_id, season, 'embedding' AS origin FROM r WHERE cluster_type = 'embedding' UNION ALL SELECT cluster_id, NULL, 'dhash' FROM r WHERE cluster_type = 'dhash'",
-    "batch_select": "SELECT DISTINCT cluster_id FROM cluster_registry ORDER BY 1 LIMIT 20 OFFSET 20",
+    "batch_select": "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 500 OFFSET 500",
     "total_batches": "SELECT ceil(count(DISTINCT cluster_id) / 20.0)::BIGINT AS n_batches FROM cluster_registry",
-    "dup_key_check": f"SELECT path_key, count(*) AS n FROM (SELECT DISTINCT source_path, {PATH_SQL.format('source_path')} AS path_key FROM fashion_item) GROUP BY 1 HAVING count(*) > 1",
+    "dup_key_check": f"SELECT path_key, count(*) AS n FROM (SELECT DISTINCT p, {PATH_SQL.format('p')} AS path_key FROM (SELECT source_path AS p FROM fashion_item UNION ALL SELECT path FROM image_embedding) WHERE p IS NOT NULL) GROUP BY 1 HAVING count(*) > 1",
     "keep_first_paths": f"WITH {_REG}, e AS (SELECT cluster_id, (generate_subscripts(image_paths, 1) - 1)::INT AS pos, unnest(image_paths) AS p FROM r) SELECT cluster_id, {PATH_SQL.format('p')} AS path, min(pos) AS pos FROM e GROUP BY 1, 2",
     "json_props": "SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events",
 }
