@@ -2,8 +2,8 @@
 
 Method: in blocks of rows, the terms' words form one sequence of symbols with an end mark per
 term, and a suffix array of that sequence is built by prefix doubling. Intervals of suffixes that
-share a prefix count the n-grams, and whole terms are the intervals, from a term's first word,
-that reach the end mark. Within an interval suffixes are ordered by record, so neighbours of one
+share a prefix count the n-grams, and whole terms are the intervals, among the suffixes that begin
+a term, whose common prefix takes in the end mark. Within an interval suffixes are ordered by record, so neighbours of one
 record are repetitions and are subtracted to count records. The blocks' counts are summed.
 """
 
@@ -23,17 +23,17 @@ class SuffixArray:
     def __init__(self, terms: list[str], records: np.ndarray):
         split = [t.split(" ") for t in terms]
         sizes = np.array([len(s) + 1 for s in split])
-        flat = np.concatenate([np.array([*s, "\0"], object) for s in split])
-        self.vocabulary, symbols = np.unique(flat.astype(str), return_inverse=True)
-        end = np.searchsorted(self.vocabulary, "\0") if "\0" in self.vocabulary else -1
+        place: dict[str, int] = {" ": 0}  # the end mark: words are cut at blanks, so a blank is none of them
+        symbols = np.array([place.setdefault(w, len(place)) for s in split for w in (*s, " ")], np.int64)
+        self.vocabulary = np.array(list(place), object)
         self.starts = np.r_[0, np.cumsum(sizes)[:-1]]
         self.term = np.repeat(np.arange(len(terms)), sizes)
         self.stop = np.repeat(self.starts + sizes, sizes)
-        self.symbols = np.where(symbols == end, 0, symbols + 1)
+        self.symbols = symbols
         self.record = np.asarray(records)[self.term]
         self.terms = terms
         n, k, longest = len(symbols), 1, int(sizes.max())
-        rank = self.symbols.astype(np.int64)
+        rank = self.symbols
         at = np.arange(n)
         while k < longest:
             after = np.where(at + k < self.stop, rank[np.minimum(at + k, n - 1)] + 1, 0)
@@ -56,43 +56,54 @@ class SuffixArray:
         return o[at], self.record[o[at]], np.diff(np.r_[at, len(o)])
 
     def _terms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffixes that begin a term, in order; which differ from the one before; which repeat it in one record."""
+        """Suffixes that begin a term, in order; which begin an interval; which repeat the one before in one record.
+
+        An interval ends where the common prefix with the suffix before doesn't take in the end mark.
+        """
         first = np.zeros(len(self.symbols), bool)
         first[self.starts] = True
         o = self.order[first[self.order]]
-        new = np.r_[True, self.rank[o][1:] != self.rank[o][:-1]]
+        new = self.common(o, None) < self.stop[o] - o
         return o, new, np.r_[False, ~new[1:] & (self.record[o][1:] == self.record[o][:-1])]
 
-    def ngrams(self, longest: int | None) -> Iterator[tuple[int, str, int, int]]:
-        """`(n, gram, occurrences, records)` of all n-grams of words that stay within a term."""
+    def common(self, o: np.ndarray, most: int | None) -> np.ndarray:
+        """The common prefix, within their terms and up to `most` symbols, of each suffix of an order with the one before; 0 for the first."""
+        n = len(self.symbols)
+        out = np.zeros(len(o), np.int64)
+        before = np.r_[o[:1], o[:-1]]
+        at = np.arange(1, len(o))  # pairs that are alike so far
+        d = 0
+        while len(at) and (most is None or d < most):
+            a, b = o[at] + d, before[at] + d
+            alike = (a < self.stop[o[at]]) & (b < self.stop[before[at]])
+            alike &= self.symbols[np.minimum(a, n - 1)] == self.symbols[np.minimum(b, n - 1)]
+            at = at[alike]
+            out[at] += 1
+            d += 1
+        return out
+
+    def ngrams(self, longest: int | None) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+        """Of each length `(n, grams, occurrences, records)` of all n-grams of words that stay within a term."""
         for k, p, new, again in self._grams(longest):
             at = np.flatnonzero(new)
             count = np.diff(np.r_[at, len(p)])
-            for i, c, r in zip(p[at], count, np.add.reduceat(again, at, dtype=np.int64)):
-                yield k, self._gram(i, k), int(c), int(c - r)
+            yield k, self._texts(p[at], k), count, count - np.add.reduceat(again, at, dtype=np.int64)
 
-    def gram_records(self, longest: int | None) -> Iterator[tuple[int, str, int, int]]:
-        """`(n, gram, record, occurrences)` of all n-grams of each record."""
+    def gram_records(self, longest: int | None) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+        """Of each length `(n, grams, records, occurrences)` of all n-grams of each record."""
         for k, p, _, again in self._grams(longest):
             at = np.flatnonzero(~again)
-            for i, c in zip(p[at], np.diff(np.r_[at, len(p)])):
-                yield k, self._gram(i, k), int(self.record[i]), int(c)
+            yield k, self._texts(p[at], k), self.record[p[at]], np.diff(np.r_[at, len(p)])
 
-    def _gram(self, at: int, n: int) -> str:
-        return " ".join(self.vocabulary[self.symbols[at : at + n] - 1])
+    def _texts(self, at: np.ndarray, n: int) -> list[str]:
+        words = self.vocabulary[self.symbols[at[:, None] + np.arange(n)]]
+        return [" ".join(w) for w in words]
 
     def _grams(self, longest: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Of each length, up to the longest term's without a limit: suffixes by gram and record; which differ from the one before; which repeat it in one record."""
         longest = int((self.stop - np.arange(len(self.stop))).max()) - 1 if longest is None else longest
-        n = len(self.symbols)
         o = self.order
-        common = np.zeros(n, np.int64)  # common prefix with the suffix before, as far as needed
-        alive = np.r_[False, np.ones(n - 1, bool)]
-        before = np.r_[o[0], o[:-1]]
-        for d in range(longest):
-            inside = (o + d < self.stop[o]) & (before + d < self.stop[before])
-            alive &= inside & (self.symbols[np.minimum(o + d, n - 1)] == self.symbols[np.minimum(before + d, n - 1)])
-            common += alive
+        common = self.common(o, longest)
         for k in range(1, longest + 1):
             fits = o + k < self.stop[o]  # the end mark is no word
             group = np.cumsum(common < k)
@@ -150,14 +161,13 @@ def ngram_counts(rows: DataFrame, longest: int | None = None, *, whole_records:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for field, sa, _ in _blocks(batches):
-            found = list(sa.ngrams(longest))
-            yield pd.DataFrame(found, columns=["n", "gram", "o", "r"]).assign(field_name=field)[["field_name", "n", "gram", "o", "r"]]
+            for n, found, count, records in sa.ngrams(longest):
+                yield pd.DataFrame({"field_name": field, "n": n, "gram": found, "o": count, "r": records})
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for field, sa, keys in _blocks(batches):
-            found = pd.DataFrame(list(sa.gram_records(longest)), columns=["n", "gram", "record", "o"]).assign(field_name=field)
-            found["record"] = keys[found["record"].to_numpy(np.int64)]
-            yield found[["field_name", "n", "gram", "record", "o"]]
+            for n, found, records, count in sa.gram_records(longest):
+                yield pd.DataFrame({"field_name": field, "n": n, "gram": found, "record": keys[records], "o": count})
 
     rows = rows.where(F.size("terms") > 0)
     if whole_records:

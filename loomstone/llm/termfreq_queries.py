@@ -62,7 +62,14 @@ v AS (
     WHEN n_records * 5 > CASE WHEN field_name = 'archive_keywords' THEN (SELECT count(DISTINCT edition) FROM ontology_term) ELSE (SELECT count(DISTINCT id) FROM fashion_item) END THEN 'common'
     ELSE 'useful' END AS verdict FROM c)
 """
+_GRAMS = """
+, w AS (SELECT field_name, record, string_split(term, ' ') AS w FROM x),
+g AS (SELECT field_name, record, w, unnest(range(1, len(w) + 1)) AS n FROM w),
+h AS (SELECT field_name, record, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM g))
+SELECT field_name, n::INT AS n, gram, count(*)::BIGINT AS n_occurrences, count(DISTINCT record)::BIGINT AS n_records FROM h GROUP BY 1, 2, 3
+"""
 ORACLES = {
+    "p5_ngrams": _SQL + _GRAMS,
     "p5_found": _SQL + "SELECT field_name, term, verdict FROM v WHERE verdict <> 'useful'",
     "p5_terms": _SQL + "SELECT field_name, term, n_occurrences, n_records, verdict FROM v",
 }
