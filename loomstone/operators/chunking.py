@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions.text import sentences
 from loomstone.functions.vectors import cosine_distance
-from loomstone.operators.sequences import buffered, segments
+from loomstone.operators.sequences import BREAKPOINTS, buffered, gradient, offsets, segments, threshold_for_count, threshold_of
 
 SIZE, OVERLAP = 350, 50
 _WORD = re.compile(r"[^\W_]+")
@@ -101,18 +101,81 @@ def hashed_vector(size: int = 32) -> Callable[[Column], Column]:
     return embed
 
 
-def semantic_chunks(docs: DataFrame, key: str, text: str, *, around: int = 1, share: float = 0.95, embed: Callable[[Column], Column] | None = None) -> DataFrame:
-    """`(key, chunk_ix, chunk)`: sentences are joined until the distance of neighbouring contexts exceeds the text's percentile.
+def semantic_chunks(
+    docs: DataFrame, key: str, text: str, *, around: int = 1, kind: str = "percentile", amount: float | None = None, n_chunks: int | None = None, embed: Callable[[Column], Column] | None = None, start_index: bool = False
+) -> DataFrame:
+    """`(key, <other columns>, chunk_ix, chunk[, start_index])`: sentences are joined until the distance of neighbouring contexts exceeds the text's threshold.
 
-    Sentences whose contexts have no distance (all-zero vectors) are never parted. A text of one
-    sentence is one chunk.
+    The threshold is of one of the four kinds, or such that about `n_chunks` chunks result. Other
+    columns ride along. A text of one sentence is one chunk, as is one of two sentences by the
+    gradient; sentences whose contexts have no distance (all-zero vectors) are never parted. Null
+    and empty texts give no chunk. `start_index` is the sum of the lengths of the chunks before.
     """
     from pyspark.sql import Window
 
+    if kind not in BREAKPOINTS:
+        raise ValueError(f"unknown kind of threshold: {kind!r}")
     rows = buffered(sentence_rows(docs, key, text), [key], ["sent_ix"], "sentence", around)
     w = Window.partitionBy(key).orderBy("sent_ix")
     rows = rows.withColumn("v", (embed or hashed_vector())(F.col("context"))).withColumn("d", cosine_distance(F.col("v"), F.lead("v").over(w))).drop("v", "context")
-    limit = rows.where("d is not null").groupBy(key).agg(F.percentile("d", F.lit(share)).alias("limit"))
-    parted = segments(rows.join(limit, key, "left"), [key], ["sent_ix"], F.col("d") > F.col("limit"), "chunk_ix")
+    told = rows.where("d is not null")
+    if n_chunks is not None:
+        limit = threshold_for_count(told, [key], "d", n_chunks).select(key, F.col("by_count").alias("limit"))
+    else:
+        limit = threshold_of(told, [key], ["sent_ix"], "d", kind, amount)
+    measure = F.col("d")
+    if kind == "gradient" and n_chunks is None:
+        rows = rows.join(gradient(told, [key], ["sent_ix"], "d", "_g").select(key, "sent_ix", "_g"), [key, "sent_ix"], "left")
+        measure = F.col("_g")
+    parted = segments(rows.join(limit, key, "left"), [key], ["sent_ix"], measure > F.col("limit"), "chunk_ix")
     joined = F.array_sort(F.collect_list(F.struct("sent_ix", "sentence")))
-    return parted.groupBy(key, "chunk_ix").agg(F.concat_ws(" ", F.transform(joined, lambda s: s["sentence"])).alias("chunk"))
+    out = parted.groupBy(key, "chunk_ix").agg(F.concat_ws(" ", F.transform(joined, lambda s: s["sentence"])).alias("chunk"))
+    if start_index:
+        out = offsets(out, [key], ["chunk_ix"], "chunk")
+    more = [c for c in docs.columns if c not in (key, text, *out.columns)]
+    return out.join(docs.select(key, *more), key).select(key, *more, *[c for c in out.columns if c != key]) if more else out
+
+
+METHODS = ("char-split", "recursive-split", "semantic-split")
+
+
+def split(docs: DataFrame, key: str, text: str, method: str, *, size: int = SIZE, overlap: int = OVERLAP, length: Callable[[str], int] = len, **semantic) -> DataFrame:
+    """`(key, chunk_ix, chunk)` by one of the methods; an unknown one is an error."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}: one of {', '.join(METHODS)}")
+    if method == "char-split":
+        return char_chunks(docs, key, text, size, overlap) if length is len else measured_chunks(docs, key, text, size, overlap, length)
+    if method == "recursive-split":
+        return recursive_chunks(docs, key, text, size, overlap, length)
+    return semantic_chunks(docs.select(key, text), key, text, **semantic)
+
+
+def measured_windows(text: str | None, size: int, overlap: int, length: Callable[[str], int]) -> list[str]:
+    """Windows of characters whose lengths, each measured on its own, add up to at most `size`, `overlap` of it shared."""
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be less than the size")
+    known: dict[str, int] = {}
+    sizes = [known[c] if c in known else known.setdefault(c, length(c)) for c in text or ""]
+    out, begin, at, total = [], 0, 0, 0
+    while at < len(sizes):
+        if at > begin and total + sizes[at] > size:
+            out.append(text[begin:at])
+            while begin < at and (total > overlap or total + sizes[at] > size):
+                total -= sizes[begin]
+                begin += 1
+        total += sizes[at]
+        at += 1
+    if at > begin:
+        out.append(text[begin:at])
+    return out
+
+
+def measured_chunks(docs: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP, length: Callable[[str], int] = len) -> DataFrame:
+    """`(key, chunk_ix, chunk)`: windows whose characters are measured by a function, such as a tokenizer's count."""
+
+    def cut(batches):
+        for b in batches:
+            rows = [(k, i, c) for k, t in zip(b[key], b[text]) for i, c in enumerate(measured_windows(t, size, overlap, length))]
+            yield pd.DataFrame(rows, columns=[key, "chunk_ix", "chunk"])
+
+    return docs.select(key, text).mapInPandas(cut, f"{key} {dict(docs.dtypes)[key]}, chunk_ix int, chunk string")

@@ -52,6 +52,29 @@ def thresholds(distances: DataFrame, keys: list[str], value: str) -> DataFrame:
     return got.select(*keys, "by_percentile", (F.col("mean") + 3 * F.col("dev")).alias("by_deviation"), (F.col("mean") + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("by_range"))
 
 
+#: The usual amount of each kind of breakpoint threshold.
+BREAKPOINTS = {"percentile": 95.0, "standard_deviation": 3.0, "interquartile": 1.5, "gradient": 95.0}
+
+
+def threshold_of(distances: DataFrame, keys: list[str], order: list[str], value: str, kind: str = "percentile", amount: float | None = None) -> DataFrame:
+    """`(*keys, limit)`: a group's breakpoint threshold of one of the kinds; an unknown kind is an error.
+
+    Of the gradients' percentile the threshold is compared with the gradients, of the others with
+    the distances. A group of one distance has no gradient and no threshold.
+    """
+    if kind not in BREAKPOINTS:
+        raise ValueError(f"unknown kind of threshold: {kind!r}")
+    a, x = BREAKPOINTS[kind] if amount is None else amount, F.col(value)
+    rows = distances.where(x.isNotNull())
+    if kind == "gradient":
+        rows, x = gradient(rows, keys, order, value, "_g"), F.col("_g")
+    limit = {
+        "percentile": lambda: F.percentile(x, F.lit(a / 100)), "gradient": lambda: F.percentile(x, F.lit(a / 100)),
+        "standard_deviation": lambda: F.avg(x) + a * F.stddev_pop(x), "interquartile": lambda: F.avg(x) + a * (F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))),
+    }[kind]()
+    return rows.groupBy(*keys).agg(limit.alias("limit"))
+
+
 def gradient(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str = "gradient") -> DataFrame:
     """Central differences, one-sided at the ends; null for a single row."""
     w = _by(keys, order)

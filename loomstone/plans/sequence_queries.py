@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as t
 from loomstone.functions.paths import same_path
+from loomstone.functions.tokens import token_length
 from loomstone.functions.vectors import cosine_distance
 from loomstone.operators import chunking, sequences
 from loomstone.operators.retrieval import first_of
@@ -50,6 +53,30 @@ def recursive_chunks(spark, sf_dir):
     return chunking.recursive_chunks(_docs(spark, sf_dir), "doc_id", "text")
 
 
+def token_chunks(spark, sf_dir):
+    """Chunks by the recursive split, measured in tokens."""
+    return chunking.split(_docs(spark, sf_dir), "doc_id", "text", "recursive-split", length=token_length()).select("doc_id", "chunk_ix", F.md5("chunk").alias("chunk_md5"))
+
+
+def token_windows(spark, sf_dir):
+    """Windows of characters measured in tokens."""
+    return chunking.split(_docs(spark, sf_dir), "doc_id", "text", "char-split", length=token_length()).select("doc_id", "chunk_ix", F.md5("chunk").alias("chunk_md5"))
+
+
+def semantic_thresholds(spark, sf_dir):
+    """How many chunks each kind of threshold gives a document, and the wish for five."""
+    docs, ways = _docs(spark, sf_dir), {**{k: {"kind": k} for k in sequences.BREAKPOINTS}, "five": {"n_chunks": 5}}
+    parts = [chunking.semantic_chunks(docs, "doc_id", "text", **how).groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(k).alias("way"), "n") for k, how in ways.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def all_thresholds(spark, sf_dir):
+    """The four kinds of threshold side by side."""
+    rows = _distances(spark, sf_dir)
+    parts = [sequences.threshold_of(rows, ["label"], ["vec_id"], "d", k).select("label", F.lit(k).alias("kind"), F.round("limit", 6).alias("limit")) for k in sequences.BREAKPOINTS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def _distances(spark, sf_dir) -> DataFrame:
     from pyspark.sql import Window
 
@@ -216,7 +243,7 @@ def json_props(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (char_chunks, chunk_offsets, sentence_split, sentence_buffer, semantic_chunks, recursive_chunks, neighbor_distance, thresholds, threshold_gradient, threshold_by_count, segments, gap_clusters, carry_forward, asof_header, nearest_center, enrich_left, unmatched_count, missing_anti, resume_skip, status_rollup, first_match, last_wins, explode_images, image_map_priority, registry_union, batch_select, total_batches, dup_key_check, keep_first_paths, json_props)
+    for f in (char_chunks, chunk_offsets, sentence_split, sentence_buffer, semantic_chunks, recursive_chunks, token_chunks, token_windows, semantic_thresholds, all_thresholds, neighbor_distance, thresholds, threshold_gradient, threshold_by_count, segments, gap_clusters, carry_forward, asof_header, nearest_center, enrich_left, unmatched_count, missing_anti, resume_skip, status_rollup, first_match, last_wins, explode_images, image_map_priority, registry_union, batch_select, total_batches, dup_key_check, keep_first_paths, json_props)
 }
 
 _N = "greatest(1, ceil((length(text) - 350) / 300.0)::INT + 1)"
@@ -234,6 +261,7 @@ ORACLES = {
     "neighbor_distance": f"WITH {_DIST} SELECT label, vec_id, d FROM d",
     "thresholds": f"WITH {_DIST} SELECT label, round(quantile_cont(d, 0.95), 6) AS by_percentile, round(avg(d) + 3 * stddev_pop(d), 6) AS by_deviation, round(avg(d) + 1.5 * (quantile_cont(d, 0.75) - quantile_cont(d, 0.25)), 6) AS by_range FROM d GROUP BY label",
     "threshold_gradient": f"WITH {_DIST}, g AS (SELECT label, CASE WHEN b IS NULL THEN a - d WHEN a IS NULL THEN d - b ELSE (a - b) / 2 END AS g FROM (SELECT label, d, lag(d) OVER w AS b, lead(d) OVER w AS a FROM d WINDOW w AS (PARTITION BY label ORDER BY vec_id))) SELECT label, round(quantile_cont(g, 0.95), 6) AS by_gradient FROM g GROUP BY label",
+    "all_thresholds": f"WITH {_DIST}, g AS (SELECT label, d, CASE WHEN b IS NULL THEN a - d WHEN a IS NULL THEN d - b ELSE (a - b) / 2 END AS g FROM (SELECT label, d, lag(d) OVER w AS b, lead(d) OVER w AS a FROM d WINDOW w AS (PARTITION BY label ORDER BY vec_id))), t AS (SELECT label, quantile_cont(d, 0.95) AS percentile, avg(d) + 3 * stddev_pop(d) AS standard_deviation, avg(d) + 1.5 * (quantile_cont(d, 0.75) - quantile_cont(d, 0.25)) AS interquartile, quantile_cont(g, 0.95) AS gradient FROM g GROUP BY label) SELECT label, kind, round(v, 6) AS \"limit\" FROM t UNPIVOT (v FOR kind IN (percentile, standard_deviation, interquartile, gradient))",
     "threshold_by_count": f"WITH {_DIST}, n AS (SELECT label, count(*) AS n, list(d ORDER BY d) AS v FROM d GROUP BY label), h AS (SELECT *, (1 - (greatest(1, least(10, n)) - 1) / (n - 1)::DOUBLE) * (n - 1) AS h FROM n) SELECT label, round(v[floor(h)::INT + 1] + (h - floor(h)) * (v[ceil(h)::INT + 1] - v[floor(h)::INT + 1]), 6) AS by_count FROM h",
     "segments": f"WITH {_DIST}, t AS (SELECT label, quantile_cont(d, 0.95) AS t FROM d GROUP BY label) SELECT label, vec_id, coalesce(sum((d > t)::INT) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS segment FROM d JOIN t USING (label)",
     "gap_clusters": "WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS s FROM events), g AS (SELECT *, (s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) > 21600)::INT AS n FROM e), r AS (SELECT *, sum(coalesce(n, 0)) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING)::INT AS grp FROM g) SELECT user_id, grp, count(*) AS n, round(avg(s), 3) AS centre FROM r GROUP BY 1, 2",

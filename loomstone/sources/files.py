@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import json
+import re
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.functions.paths import basename, extension, parts
+from loomstone.functions.paths import basename, extension, parts, season_of_folder
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
-    """JSON lines with a stated schema; blank lines are passed over, unreadable ones come with `_corrupt_record`."""
+    """JSON lines with a stated schema, the file's name and the season it names; blank lines are passed over, unreadable ones come with `_corrupt_record`."""
     s = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     if "_corrupt_record" not in s.fieldNames():
         s = T.StructType([*s.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(s).option("mode", "PERMISSIVE").json(path).withColumn("file_name", F.col("_metadata.file_name"))
+    return spark.read.schema(s).option("mode", "PERMISSIVE").json(path).withColumn("file_name", F.col("_metadata.file_name")).withColumn("file_season", season_of_folder(F.col("file_name")))
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -77,17 +82,110 @@ def term_lines(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
     return lines.select("line_no", F.trim("term").alias("term")).where((F.col("line_no") >= skip) & (F.col("term") != "") & ~F.col("term").startswith("#"))
 
 
-def tree_values(text: Column, keys: tuple[str, ...] = ("name", "label", "term", "value")) -> Column:
-    """Texts of the given keys at any depth of a JSON document, in order."""
-    pattern = r'"(?:' + "|".join(keys) + r')"\s*:\s*"((?:[^"\\]|\\.)*+)"'
-    return F.regexp_extract_all(text, F.lit(pattern), 1)
+TREE_KEYS = ("name", "label", "term", "value")
+
+
+def tree_values(text: Column, keys: tuple[str, ...] = TREE_KEYS) -> Column:
+    """Texts of the given keys, in any case, at any depth of a JSON document or of JSON lines, in order; what can't be parsed gives none.
+
+    A walk of any depth is no expression: it is done in Arrow batches.
+    """
+
+    @F.pandas_udf("array<string>")
+    def walk(texts: pd.Series) -> pd.Series:
+        def found(text: str | None) -> list[str]:
+            out: list[str] = []
+            for tree in _trees(text):
+                todo = [tree]
+                while todo:
+                    node = todo.pop()
+                    if isinstance(node, _Named):
+                        out.append(node.text)
+                    elif isinstance(node, dict):
+                        inner = []
+                        for k, v in node.items():
+                            if k.lower() in keys and isinstance(v, str):
+                                inner.append(_Named(v))
+                            inner.append(v)
+                        todo += reversed(inner)
+                    elif isinstance(node, list):
+                        todo += reversed(node)
+            return out
+
+        return texts.map(found, na_action=None)
+
+    return walk(text)
+
+
+class _Named:
+    """A text to be taken when its turn comes."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+
+def _trees(text: str | None) -> list:
+    """The document a text is, else those of its lines."""
+    if not text:
+        return []
+    try:
+        return [json.loads(text)]
+    except (ValueError, RecursionError):
+        out = []
+        for line in text.splitlines():
+            try:
+                out.append(json.loads(line))
+            except (ValueError, RecursionError):
+                continue
+        return out
 
 
 def xml_terms(text: Column) -> Column:
-    """Literals of label elements and local names of identifiers in an XML vocabulary."""
-    labels = F.regexp_extract_all(text, F.lit(r"<(?:\w+:)?(?:label|prefLabel|altLabel)[^>]*>([^<]+)<"), 1)
-    names = F.regexp_extract_all(text, F.lit(r'(?:rdf:about|rdf:ID)="[^"]*?([^/#"]+)"'), 1)
-    return F.array_distinct(F.concat(labels, F.transform(names, lambda n: F.regexp_replace(n, "[_-]", " "))))
+    """Texts of literal elements and local names in attributes of an XML vocabulary, in order; of a document that can't be parsed those that patterns find."""
+
+    @F.pandas_udf("array<string>")
+    def read(texts: pd.Series) -> pd.Series:
+        def found(text: str | None) -> list[str]:
+            if not text:
+                return []
+            try:
+                if "<!ENTITY" in text:
+                    raise ElementTree.ParseError
+                root = ElementTree.fromstring(text)
+            except ElementTree.ParseError:
+                literals = re.findall(r"<(?:\w+:)?(?:Literal|label|prefLabel|altLabel)[^>]*>([^<]+)<", text)
+                return literals + [_local(x) for x in re.findall(r'(?:IRI|abbreviatedIRI|rdf:about|rdf:ID)="([^"]+)"', text)]
+            out = []
+            for e in root.iter():
+                if isinstance(e.tag, str) and e.tag.rsplit("}", 1)[-1].lower() in ("literal", "label", "preflabel", "altlabel") and e.text and e.text.strip():
+                    out.append(e.text)
+                out += [_local(v) for v in e.attrib.values() if "#" in v or ":" in v]
+            return out
+
+        return texts.map(found, na_action=None)
+
+    return read(text)
+
+
+def _local(iri: str) -> str:
+    return iri.rsplit("#", 1)[-1].rsplit("/", 1)[-1].rsplit(":", 1)[-1]
+
+
+def without_suffix(rows: DataFrame, key: str, suffix: str = ".pdf") -> DataFrame:
+    """The rows with a suffix stripped off their keys; of keys that become equal the last by the old key counts."""
+    old = F.col(f"`{key}`")
+    new = F.when(F.lower(old).endswith(suffix), F.substring(old, F.lit(1), F.length(old) - len(suffix))).otherwise(old)
+    rest = [c for c in rows.columns if c != key]
+    got = rows.withColumn("_new", new).groupBy("_new").agg(F.max_by(F.struct(*rest), key).alias("r"))
+    return got.select(F.col("_new").alias(key), "r.*")
+
+
+def pretty_json(rows: DataFrame, path: str, order: str, most: int = 100_000) -> None:
+    """A small table as one JSON array in one file; more than `most` rows are an error."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows are no single file")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*rows.columns).alias("r")))), lambda x: x["r"])
+    rows.agg(F.to_json(listed, {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_if_empty(rows: DataFrame, path: str, fields: list[str]) -> bool:

@@ -135,6 +135,66 @@ def test_semantic_chunks_of_short_texts(spark):
     assert got == {1, 2, 5}
 
 
+def test_kinds_of_thresholds(spark):
+    texts = spark.createDataFrame([(1, "s", " ".join(f"{w} {w} {w}." for w in "a a a b b c c c d".split()))], "id int, source string, t string")
+    for how in ({"kind": "percentile", "amount": 50.0}, {"kind": "standard_deviation", "amount": 0.5}, {"kind": "interquartile", "amount": 0.1}, {"kind": "gradient", "amount": 60.0}, {"n_chunks": 3}):
+        rows = chunking.semantic_chunks(texts, "id", "t", around=0, start_index=True, **how).orderBy("chunk_ix").collect()
+        assert " ".join(r.chunk for r in rows) == texts.first().t and rows[0].source == "s"
+        assert len(rows) > 1 or how["kind"] in ("interquartile", "gradient")
+        assert [r.start_index for r in rows] == [sum(len(x.chunk) for x in rows[:k]) for k in range(len(rows))]
+    for bad in (lambda: chunking.semantic_chunks(texts, "id", "t", kind="none"), lambda: chunking.split(texts, "id", "t", "none")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_splits_by_tokens(spark):
+    from loomstone.functions.tokens import token_length
+
+    length, text = token_length(), "A silk jacket, «piqué» and taffetà. " * 60
+    windows = chunking.measured_windows(text, 50, 10, length)
+    assert all(sum(map(length, w)) <= 50 for w in windows) and "".join(windows).count("silk") >= 60
+    assert chunking.measured_windows("abc", 2, 0, len) == ["ab", "c"] and chunking.measured_windows(None, 2, 0, len) == []
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string")
+    rows = chunking.split(df, "id", "t", "recursive-split", size=50, overlap=5, length=length).collect()
+    assert rows and all(length(r.chunk) <= 50 for r in rows) and {r.id for r in rows} == {1}
+
+
+def test_searches_in_several_blocks(spark, small):
+    rows = spark.read.parquet(f"{small}/embeddings.parquet")
+    asked = rows.where("vec_id % 20 = 0")
+    a, b = ({(r.query, r.key, r["rank"]) for r in nearest_to_each(asked, rows, "vec_id", "embedding", 5, most_bytes=n).collect()} for n in (1 << 20, 4096))
+    assert a == b and len(a) == 5 * asked.count()
+    assert nearest_to_each(asked.limit(0), rows, "vec_id", "embedding", 5).count() == 0
+
+
+def test_candidates_without_scores_stay(spark):
+    from loomstone.operators.retrieval import ranked_candidates, referenced
+
+    near = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "path string, rank int")
+    scored = spark.createDataFrame([("c", 2), ("b", 2), ("x", 9)], "path string, score int")
+    assert [r.path for r in ranked_candidates(scored, near, "path").collect()] == ["b", "c"]
+    assert [r.path for r in ranked_candidates(scored.where("path = 'x'"), near, "path").collect()] == ["a", "b", "c"]
+    assert [r.path for r in referenced(near, 4, "rank").collect()] == ["d"] and referenced(near, 5, "rank").count() == referenced(near, 0, "rank").count() == 0
+
+
+def test_numbers_by_ranges(spark):
+    rows = spark.createDataFrame([("g" if i % 3 else "h", i % 7, i) for i in range(300)], "g string, a int, b int")
+    got = grouping.numbered(rows, "g", ["a", "b"], "n", parts=5).collect()
+    for g in "gh":
+        own = sorted((r for r in got if r.g == g), key=lambda r: (r.a, r.b))
+        assert [r.n for r in own] == list(range(len(own)))
+
+
+def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
+    from loomstone.streaming.ingest import file_stream, read_latest, upsert_latest
+
+    for k, rows in enumerate(([(i, 1) for i in range(40)], [(3, 2), (99, 2)], [(3, 1)])):
+        spark.createDataFrame(rows, "k int, seq int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        upsert_latest(file_stream(spark, str(tmp_path / "in"), "k int, seq int"), "k", "seq", str(tmp_path / "out"), str(tmp_path / "cp"), buckets=8)
+    assert {r.k: r.seq for r in read_latest(spark, str(tmp_path / "out")).collect()} == {i: 1 for i in range(40)} | {3: 2, 99: 2}
+    assert len(list((tmp_path / "out" / "rows" / "2").glob("bucket=*"))) == 1
+
+
 def test_components_and_refinement(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 51)], "a int, b int")
     got = {r.id: r.comp for r in grouping.components(edges).collect()}
@@ -195,6 +255,16 @@ def test_files(spark, tmp_path):
     sparql = '{"results": {"bindings": [{"i": {"type": "uri", "value": "http://x/y#Silk"}}, {"label": {"type": "literal", "value": "wool"}}]}}'
     assert one(spark, files.sparql_labels, sparql) == ["Silk", "wool"]
     assert one(spark, files.tree_values, '{"a": [{"name": "x", "b": {"term": "y"}}]}') == ["x", "y"]
-    assert one(spark, files.xml_terms, '<c rdf:about="http://x#A_b"><rdfs:label>lab</rdfs:label></c>') == ["lab", "A b"]
+    assert one(spark, files.tree_values, '{"name": "a \\"b\\" é", "x": "\\"name\\": \\"no\\"", "Label": ["l"]}') == ['a "b" é']
+    assert one(spark, files.tree_values, '{"term": "1"}\nbad\n{"a": {"value": "2"}}') == ["1", "2"] and one(spark, files.tree_values, "") == [] and one(spark, files.tree_values, None) == []
+    assert one(spark, files.xml_terms, '<c rdf:about="http://x#A_b"><rdfs:label>lab</rdfs:label></c>') == ["lab", "A_b"]
+    assert one(spark, files.xml_terms, '<o xmlns:r="http://r"><C IRI="#Coat"/><Literal>a &amp; b</Literal><x r:about="http://x/y"/></o>') == ["Coat", "a & b", "y"]
+    (folder / "c.gif").write_bytes(b"1")
+    (folder / "d.tif").write_bytes(b"1")
+    assert {r.filename for r in files.image_files(files.listing(spark, str(tmp_path / "x")), "photos").collect()} == {"A.JPG", "c.gif"}
+    keyed = files.without_suffix(spark.createDataFrame([("a.pdf", 1), ("a", 2), ("b.PDF", 3)], "k string, v int"), "k")
+    assert {r.k: r.v for r in keyed.collect()} == {"a": 1, "b": 3}
+    files.pretty_json(spark.createDataFrame([(2,), (1,)], "k int"), str(tmp_path / "p"), "k")
+    assert json.loads(spark.read.text(str(tmp_path / "p"), wholetext=True).first()[0]) == [{"k": 1}, {"k": 2}]
     good, bad = files.rejects(spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1,)], "k int"), "k")
     assert [r.k for r in good.collect()] == [1] and [(r.k, r.reason) for r in bad.collect()] == [(2, "missing_file")]
