@@ -1,7 +1,7 @@
 """Language of texts and of the segments of mixed texts.
 
 Method: error-correcting output codes. Each language has a codeword of 15 bits (the exhaustive
-code of five classes); 15 binary classifiers over character n-grams (one to three characters)
+code of five classes); 15 binary classifiers over character n-grams (of three characters)
 predict the bits; loss-weighted decoding takes the codeword with the least logistic loss and
 gives a confidence, and sentences whose best two codewords are close are flagged ambiguous and
 follow their neighbour. The classifiers (naive Bayes) are fitted in numpy on a bounded sample of labelled rows
@@ -98,7 +98,7 @@ def code_matrix(n: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights of all bits by trigram (shorter n-grams folded in), bias, code and the classes' languages."""
+    """Weights of all bits by trigram, bias, code and the classes' languages."""
 
     weights: np.ndarray
     bias: np.ndarray

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from loomstone.functions.tokens import TOKENIZER_DIR, VOCABULARY
+from loomstone.functions.tokens import tokenizer as of_file
+
 #: A sentence ends at a stop, also one inside closing marks, before white space, or at a line break.
 _END = re.compile(r'(?<=[.!?…])\s+|(?<=[.!?…]["”»)\]])\s+|[\r\n]+')
 _QUOTED = re.compile(r'«[^»]*»|“[^”]*”|"[^"]*"|\([^()]*\)')
@@ -29,22 +30,14 @@ def unquoted(sentence: str) -> str:
     return sentence
 
 
-TOKENIZER_DIR = "/opt/tokenizers"
 #: The vocabulary file for a tokenizer's name. The file of the first name isn't available, so the
 #: byte-level vocabulary for many languages stands in for it.
-TOKENIZER_FILES = {"cl100k_base": "byte_bpe_multi_50k.tiktoken"}
-_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+TOKENIZER_FILES = {"cl100k_base": VOCABULARY}
 
 
-@lru_cache(maxsize=4)
 def tokenizer(name: str, folder: str = TOKENIZER_DIR):
     """The public byte-level tokenizer of that name."""
-    import tiktoken
-
-    file = TOKENIZER_FILES.get(name, name if name.endswith(".tiktoken") else f"{name}.tiktoken")
-    with open(f"{folder}/{file}", "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(file, pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return of_file(TOKENIZER_FILES.get(name, name if name.endswith(".tiktoken") else f"{name}.tiktoken"), folder)
 
 
 def count_tokens(text: str | None, name: str, folder: str = TOKENIZER_DIR) -> int:
