@@ -12,6 +12,7 @@ from loomstone.functions.repair import repaired_term
 from loomstone.functions.text import simplify, squeeze
 from loomstone.operators import terms as T
 from loomstone.operators.vocabulary import grams, slot_of, support
+from loomstone.plans.lineage import cut
 
 
 def simple(text: Column) -> Column:
@@ -113,6 +114,7 @@ def merged(lists: list[DataFrame], texts: DataFrame | None = None) -> DataFrame:
     first = named.groupBy("slot", "term").agg(F.min(F.struct("list_no", "pos")).alias("at"))
     order = [F.col("at"), F.col("term")]
     if texts is not None:
+        first = cut(first, "names")  # the vocabulary is small, but its plan is long and used three times
         counts = support(first.select("term"), texts, "key", "text")
         first = first.join(counts.withColumnRenamed("term", "_t"), squeeze(F.regexp_replace(F.lower("term"), r"[^\p{L}\p{N}]+", " ")) == F.col("_t"), "left")
         order = [F.desc(F.coalesce("support", F.lit(0))), F.col("term")]

@@ -68,23 +68,31 @@ def grams(words: Column, longest: int) -> Column:
     return F.array_distinct(F.flatten(runs))
 
 
+#: A list of at most so many searched forms is broadcast to the texts, so that only runs that are terms are shuffled.
+LISTED = 100_000
+_COMPACT = "\u0001"
+
+
 def support(terms: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
     """`(term, support)`: how many texts hold each term as whole words, or are the term once blanks are left out.
 
-    The texts' word n-grams, distinct within a text and as long as the longest term, meet the
-    terms in an equi-join, so neither side is compared with all of the other. A key with several
-    texts counts once.
+    The texts' word n-grams, distinct within a text and as long as the longest term, and their
+    letters without blanks meet the terms in one equi-join, so neither side is compared with all
+    of the other. Of more than `LISTED` forms both sides are shuffled. A key with several texts
+    counts once.
     """
     plain = squeeze(F.regexp_replace(F.lower("term"), r"[^\p{L}\p{N}]+", " "))
     wanted = terms.select(plain.alias("term")).where("term is not null").distinct()
-    longest = wanted.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    # a sign that no word holds begins the letters without blanks
+    compact = F.concat(F.lit(_COMPACT), F.replace("term", F.lit(" "), F.lit("")))
+    forms = wanted.select("term", F.explode(F.array("term", compact)).alias("form"))
+    n, longest = wanted.agg(F.count("*"), F.max(F.size(F.split("term", " ")))).first()
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), words.alias("w"))
-    phrases = rows.select("_key", F.explode(grams(F.col("w"), int(longest))).alias("term"))
-    found = wanted.join(phrases, "term")
-    whole = rows.select("_key", F.array_join("w", "").alias("compact")).where("compact <> ''")
-    same = wanted.withColumn("compact", F.replace("term", F.lit(" "), F.lit(""))).join(whole, "compact").select("term", "_key")
-    counts = found.select("term", "_key").unionByName(same).distinct().groupBy("term").agg(F.count("*").alias("support"))
+    whole = F.array(F.concat(F.lit(_COMPACT), F.array_join("w", "")))
+    runs = rows.select("_key", F.explode(F.concat(grams(F.col("w"), int(longest or 1)), whole)).alias("form"))
+    found = runs.join(F.broadcast(forms) if 2 * n <= LISTED else forms, "form")
+    counts = found.select("term", "_key").distinct().groupBy("term").agg(F.count("*").alias("support"))
     return wanted.join(counts, "term", "left").select("term", F.coalesce("support", F.lit(0).cast("long")).alias("support"))
 
 

@@ -9,6 +9,7 @@ from test_assembly import _term
 
 from loomstone.operators import ontology as o
 from loomstone.operators import terms as T
+from loomstone.operators import vocabulary
 from loomstone.operators.vocabulary import support
 
 
@@ -108,3 +109,25 @@ def test_support_of_long_and_compact_terms(spark, n):
     term = " ".join(f"w{i}" for i in range(n))
     texts = spark.createDataFrame([(1, f"x {term}, y"), (2, term.replace(" ", "")), (3, "w0x"), (3, None)], "id int, t string")
     assert [r.support for r in support(spark.createDataFrame([(term,)], "term string"), texts, "id", "t").collect()] == [2]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merging_computes_names_once_and_shuffles_terms_only(spark, monkeypatch):
+    names = spark.createDataFrame([("colors_tags", 1, "Nero"), ("material_tags", 2, "silk georgette")], "slot string, pos int, term string")
+    texts = spark.createDataFrame([(1, "black silk georgette"), (2, "silkgeorgette"), (2, "silk georgette"), (3, None), (4, "")], "key int, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "EvalPython" not in _plan(o.merged([names], texts))
+        counted = support(names.select("term"), texts, "key", "text")
+        assert "BroadcastHashJoin [form" in _plan(counted)
+        listed = {r.term: r.support for r in counted.collect()}
+        monkeypatch.setattr(vocabulary, "LISTED", 0)
+        shuffled = support(names.select("term"), texts, "key", "text")
+        assert "BroadcastHashJoin [form" not in _plan(shuffled)
+        assert listed == {r.term: r.support for r in shuffled.collect()} == {"nero": 0, "silk georgette": 2}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
