@@ -237,6 +237,28 @@ def test_hash_matching(spark):
     assert [(r.query, r.kind) for r in matching.used_once(nn, ["g"]).collect()] == [(1, "exact")]
 
 
+@pytest.mark.parametrize("most", [500_000, 7])
+def test_nearest_hash_equals_brute_force_and_makes_no_rows_of_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(matching, "CANDIDATES", most)
+    monkeypatch.setattr(matching, "QUERIES", most)
+    monkeypatch.setattr(matching, "_COLUMNS", 16)
+    r = np.random.default_rng(1)
+    near = r.integers(-(2**63), 2**63, 5)
+    rows = [(g, f"{g}{i}é" if i % 3 else f"{g}{i}", int(near[i % 5] ^ (1 << int(r.integers(0, 8))))) for g, n in (("a", 60), ("b", 40), ("c", 1)) for i in range(n)] + [("b", "none", None)]
+    df = spark.createDataFrame(rows, "g string, id string, h long")
+    queries = df.where("hash(id) % 3 = 0 or g = 'c' or id = 'none'")
+    nn = matching.nearest_hash(queries, df, ["g"], "id", "h")
+    plan = nn._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CoGroup" in plan
+    hashes = [x for x in rows if x[2] is not None]
+    true = {}
+    for g, a, h in ((r.g, r.id, r.h) for r in queries.collect() if r.h is not None):
+        of = [(((h ^ x) & (2**64 - 1)).bit_count(), b) for s, b, x in hashes if s == g and b != a]
+        if of:
+            true[g, a] = min(of)
+    assert true and {(r.g, r.query): (r.dist, r.match) for r in nn.collect()} == true
+
+
 def test_greedy_expansion_counts_the_limit_after_exclusion(spark):
     rows = [("g", 0, "s0", c, d) for c, d in (("a", 1), ("b", 2), ("s1", 0))] + [("g", 1, "s1", c, d) for c, d in (("a", 1), ("b", 1), ("c", 5), ("d", 6))]
     df = spark.createDataFrame(rows, "g string, seed_pos int, seed string, cand string, dist int")
