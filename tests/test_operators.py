@@ -259,6 +259,12 @@ def test_nearest_hash_equals_brute_force_and_makes_no_rows_of_pairs(spark, monke
     assert true and {(r.g, r.query): (r.dist, r.match) for r in nn.collect()} == true
 
 
+def test_buckets_compute_the_matches_once(spark, small):
+    from loomstone.plans.grouping_queries import hamming_buckets
+
+    assert "CoGroup" not in hamming_buckets(spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_greedy_expansion_counts_the_limit_after_exclusion(spark):
     rows = [("g", 0, "s0", c, d) for c, d in (("a", 1), ("b", 2), ("s1", 0))] + [("g", 1, "s1", c, d) for c, d in (("a", 1), ("b", 1), ("c", 5), ("d", 6))]
     df = spark.createDataFrame(rows, "g string, seed_pos int, seed string, cand string, dist int")
