@@ -14,6 +14,7 @@ Restoring marks these units by signs and applies the source's mapping of signs w
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -22,9 +23,11 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.plans.lineage import cut
+
 #: The letters and signs that sound text in the five languages is made of.
 PLAIN = "àáâäãèéêëìíîïòóôöùúûüçñßœæÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜÇÑŒÆ’‘“”«»–—…¿¡°€©®™½√ª º±№·•‰"
 _PLAIN = frozenset(PLAIN + " ")
@@ -129,6 +132,24 @@ def _right(text: str, at: int) -> str:
     return two if two.isascii() else two[:1]
 
 
+@lru_cache(maxsize=None)
+def _modelled() -> frozenset[str]:
+    """The characters that readings and what they are read from are made of, lower case: the letter model's alphabet."""
+    pages = {c for page in {*READ_AS, *(p for swap in SWAPS for p in swap)} for c in _bytes_of(page)}
+    more = {chr(c) for a, b in ((0, 0x80), (0xC0, 0x180), (0x370, 0x500)) for c in range(a, b)}
+    return frozenset("".join(pages | more | _PLAIN).lower())
+
+
+#: What the letter model has for any other character.
+_OTHER = "\uffff"
+
+
+@lru_cache(maxsize=200_000)
+def _folded(s: str) -> str:
+    s = s.lower()
+    return s if s.isascii() else "".join(c if c in _modelled() else _OTHER for c in s)
+
+
 def contexts(text: str) -> list[tuple[int, str, str, str]]:
     """Of each non-ASCII run: where it begins, the two characters before it, itself, up to two after it."""
     return [(m.start(), text[max(0, m.start() - 2) : m.start()].rjust(2), m[0], _right(text, m.end())) for m in _RUN.finditer(text)]
@@ -136,13 +157,13 @@ def contexts(text: str) -> list[tuple[int, str, str, str]]:
 
 @dataclass
 class Letters:
-    """Counts of one to three letters, lower case; unseen ones fall back to shorter ones."""
+    """Counts of one to three letters, lower case, of a fixed alphabet; unseen ones fall back to shorter ones."""
 
     counts: tuple[Counter, Counter, Counter] = field(default_factory=lambda: (Counter(), Counter(), Counter()))
     total: float = 0.0
 
     def add(self, left: str, run: str, right: str, n: float) -> None:
-        s = (left + run + right).lower()
+        s = _folded(left + run + right)
         for i in range(2, len(s)):
             self.counts[0][s[i]] += n
             self.counts[1][s[i - 1 : i + 1]] += n
@@ -151,7 +172,7 @@ class Letters:
 
     def cost(self, left: str, run: str, right: str) -> float:
         """Minus the log-probability of the run and what follows it, given what precedes it."""
-        s, out = (left + run + right).lower(), 0.0
+        s, out = _folded(left + run + right), 0.0
         c1, c2, c3 = self.counts
         for i in range(2, len(s)):
             p = (c1[s[i]] + 0.5) / (self.total + 100)
@@ -163,7 +184,7 @@ class Letters:
 
 def _known(letters: Letters, left: str, plain: str, right: str) -> bool:
     """Whether sound text holds the letters at both ends of a reading beside these neighbours."""
-    s = (left[-1] + plain + (right[:1] or " ")).lower()
+    s = _folded(left[-1] + plain + (right[:1] or " "))
     return letters.counts[2][s] > 0 if len(s) == 3 else letters.counts[1][s[:2]] > 0 and letters.counts[1][s[-2:]] > 0
 
 
@@ -180,6 +201,24 @@ class Cipher:
     units: dict[str, dict[str, tuple[str, float]]] = field(default_factory=dict)
     #: By source and unit, what it stands for: `{letters: (share of its occurrences, share of these that sound text knows)}`.
     mapping: dict[str, dict[str, dict[str, tuple[float, float]]]] = field(default_factory=dict)
+    #: `(source, unit, own)` of the units beyond those held here, if there are any; own is what lend() takes.
+    rest: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None}
+
+    def lend(self, source: str, own: list[dict]) -> None:
+        """Hold what is known of these units of the rest."""
+        for x in own:
+            self.mapping.setdefault(source, {})[x["unit"]] = {r["plain"]: (r["share"], r["known"]) for r in x.get("readings") or ()}
+            if x.get("letter"):
+                self.units.setdefault(source, {})[x["unit"]] = (x["letter"], x["p"])
+
+    def take_back(self, source: str, own: list[dict]) -> None:
+        """Forget lent units."""
+        for x in own:
+            self.mapping.get(source, {}).pop(x["unit"], None)
+            self.units.get(source, {}).pop(x["unit"], None)
 
     def options(self, source: str, left: str, run: str, right: str) -> list[tuple[str, str]]:
         """`(swap, letters)` a run may stand for: what code pages suggest, unless the source's contexts speak against it."""
@@ -243,13 +282,16 @@ def context_counts(texts: DataFrame) -> DataFrame:
     return parts.groupBy("source", "lft", "run", "rgt").agg(F.sum("n").alias("n"))
 
 
-#: The letter model is counted from this many most frequent contexts of each source; the E-step covers all of them.
+#: A task passes its sums on after so many contexts; all contexts of all sources are covered.
 MODEL_CONTEXTS = 20_000
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """When a unit's own letter is believed: contexts it has, the letter's share, and its contexts that sound text has."""
+    """When a unit's own letter is believed: contexts it has, the letter's share, and its contexts that sound text has.
+
+    Of the mapping, `units` units are held in memory; those of the rest are joined to where they occur.
+    """
 
     contexts: int = 5
     share: float = 0.8
@@ -258,109 +300,168 @@ class Bounds:
     units: int = 20_000
 
 
-def learn_units(counts: DataFrame, letters: Letters, rounds: int = 3, bounds: Bounds = Bounds()) -> dict[str, dict[str, tuple[str, float]]]:
-    """By source, `{unit: (letter, probability)}` for units within words that no listed swap explains.
+def _model(grams: DataFrame) -> Letters:
+    """The letter model of counts `(gram, n)`; the fixed alphabet bounds what reaches the driver."""
+    letters = Letters()
+    for gram, n in grams.groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        letters.counts[len(gram) - 1][gram] = n
+    letters.total = sum(letters.counts[0].values())
+    return letters
+
+
+def _grams(letters: Letters) -> list[tuple[str, float]]:
+    return [x for c in letters.counts for x in c.items()]
+
+
+def sound_letters(counts: DataFrame) -> Letters:
+    """The letter model of all contexts whose run is of sound letters."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), MODEL_CONTEXTS):
+                own = Letters()
+                for _, left, run, right, n in b[at : at + MODEL_CONTEXTS].itertuples(index=False):
+                    if all(c in _PLAIN for c in run):
+                        own.add(left, run, right, n)
+                yield pd.DataFrame(_grams(own), columns=["gram", "n"])
+
+    return _model(counts.mapInPandas(count, "gram string, n double"))
+
+
+def learn_units(counts: DataFrame, letters: Letters, rounds: int = 3, bounds: Bounds = Bounds()) -> DataFrame | None:
+    """`(source, unit, letter, p)` of units within words that no listed swap explains; None if there are none.
 
     E-step: each context of a unit is shared among the letters by the unit's letter probabilities
     and the letter model of sound text. M-step: the shares' sums are the new probabilities, which
-    begin equal. At most `bounds.units` letters of units, those with the most contexts, reach the driver.
+    begin equal. Probabilities are a table that is joined to the contexts.
     """
     plain = sorted({c.lower() for c in _LETTERS})
-    found: dict[tuple[str, str], dict[str, tuple[float, float]]] = {}
-    for _ in range(rounds):
-        chances = {k: {c: w / sum(x for x, _ in own.values()) for c, (w, _) in own.items()} for k, own in found.items()}
-        shared = counts.sparkSession.sparkContext.broadcast((letters, chances))
+    shared = counts.sparkSession.sparkContext.broadcast(letters)
+    rows = counts.select("source", "lft", "run", "rgt", F.lit(None).cast("string").alias("own"))
 
-        def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            (letters, chances), sums = shared.value, {}
-            for b in batches:
-                for source, left, run, right, _ in b.itertuples(index=False):
-                    if len(run) > bounds.longest or LOST in run or all(c in _PLAIN for c in run):
-                        continue
-                    if any(len(p) < len(run) and all(c in _PLAIN for c in p) or _known(letters, left, p, right) for _, p in readings(run)):
-                        continue  # a listed swap explains it here
-                    if not (left[-1].isalpha() or right[:1].isalpha()):
-                        continue
-                    own = chances.get((source, run))
-                    if chances and own is None:
-                        continue
-                    weights = {c: (own.get(c, 1e-6) if own else 1.0) * math.exp(-letters.cost(left, c, right)) for c in plain}
-                    whole = sum(weights.values())
-                    for c, w in weights.items():
-                        if w > 1e-3 * whole:
-                            at = sums.setdefault((source, run, c), [0.0, 0.0])
-                            at[0] += w / whole
-                            at[1] += w / whole * (letters.counts[2][(left[-1] + c + right[:1]).lower()] > 0)
-            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["source", "unit", "letter", "w", "known"])
-
-        parts = counts.mapInPandas(expect, "source string, unit string, letter string, w double, known double")
+    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        letters, sums = shared.value, {}
+        for b in batches:
+            for source, left, run, right, own in b.itertuples(index=False):
+                if len(run) > bounds.longest or LOST in run or all(c in _PLAIN for c in run):
+                    continue
+                if any(len(p) < len(run) and all(c in _PLAIN for c in p) or _known(letters, left, p, right) for _, p in readings(run)):
+                    continue  # a listed swap explains it here
+                if not (left[-1].isalpha() or right[:1].isalpha()):
+                    continue
+                own = {x["letter"]: x["w"] for x in json.loads(own)} if own else None
+                before = sum(own.values()) if own else 1.0
+                weights = {c: (own.get(c, 1e-6 * before) / before if own else 1.0) * math.exp(-letters.cost(left, c, right)) for c in plain}
+                whole = sum(weights.values())
+                for c, w in weights.items():
+                    if w > 1e-3 * whole:
+                        at = sums.setdefault((source, run, c), [0.0, 0.0])
+                        at[0] += w / whole
+                        at[1] += w / whole * (letters.counts[2][_folded(left[-1] + c + right[:1])] > 0)
+            if len(sums) > 100_000:
+                yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["source", "unit", "letter", "w", "known"])
+                sums = {}
+        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["source", "unit", "letter", "w", "known"])
+
+    for _ in range(rounds):
+        parts = rows.mapInPandas(expect, "source string, unit string, letter string, w double, known double")
         parts = parts.groupBy("source", "unit", "letter").agg(F.sum("w").alias("w"), F.sum("known").alias("known"))
-        enough = parts.groupBy("source", "unit").agg(F.sum("w").alias("all")).where(F.col("all") >= bounds.contexts - 1e-6)
-        found = {}
-        for r in parts.join(enough, ["source", "unit"]).orderBy(F.desc("all"), "source", "unit", F.desc("w"), "letter").limit(bounds.units).collect():
-            found.setdefault((r["source"], r["unit"]), {})[r["letter"]] = (r["w"], r["known"])
-        if not found:
-            break
-    out: dict[str, dict[str, tuple[str, float]]] = {}
-    for (source, unit), own in found.items():
-        letter = max(own, key=lambda c: own[c][0])
-        w, known = own[letter]
-        share = w / sum(x for x, _ in own.values())
-        if share >= bounds.share and known >= bounds.known * w:
-            out.setdefault(source, {})[unit] = (letter, share)
-    return out
+        listed = parts.groupBy("source", "unit").agg(F.sum("w").alias("all"), F.collect_list(F.struct("letter", "w", "known")).alias("own"))
+        found = cut(listed.where(F.col("all") >= bounds.contexts - 1e-6), "letters")
+        if found.isEmpty():
+            return None
+        own = found.select("source", F.col("unit").alias("run"), F.to_json("own").alias("own"))
+        rows = counts.join(own, ["source", "run"]).select("source", "lft", "run", "rgt", "own")
+    best = F.array_min(F.transform("own", lambda x: F.struct((-x["w"]).alias("w"), x["letter"].alias("letter"), x["known"].alias("known"))))
+    out = found.select("source", "unit", "all", best.alias("b")).select("source", "unit", F.col("b.letter").alias("letter"), (-F.col("b.w") / F.col("all")).alias("p"), (F.col("b.known") / -F.col("b.w")).alias("known"))
+    return out.where((F.col("p") >= bounds.share) & (F.col("known") >= bounds.known)).drop("known")
+
+
+_STATE = {"source": "string", "unit": "string", "all": "double", "readings": "array<struct<plain: string, share: double, known: double>>", "letter": "string", "p": "double"}
+
+
+def _cipher(swaps: dict[str, dict[str, float]], letters: Letters, readings_: DataFrame | None, units: DataFrame | None, bounds: Bounds) -> Cipher:
+    """The cipher with what is known of `bounds.units` units held, those that occur most; plain letters, which may come out of others, are held always."""
+    cipher = Cipher(swaps, letters)
+    known = [d for d in (readings_, units) if d is not None]
+    if not known:
+        return cipher
+    state = known[0] if len(known) == 1 else known[0].join(known[1], ["source", "unit"], "full")
+    state = cut(state.select(*[(F.col(c) if c in state.columns else F.lit(None)).cast(t).alias(c) for c, t in _STATE.items()]), "mapping")
+    letter = F.col("unit").isin(sorted({x for c in _LETTERS for x in (c, c.upper(), c.lower()) if not x.isascii()}))
+    often = state.where(~letter).orderBy(F.desc_nulls_last("all"), "source", "unit").limit(bounds.units)
+    held = [*state.where(letter).collect(), *often.collect()]
+    for r in held:
+        cipher.lend(r["source"], [r.asDict(recursive=True)])
+    if state.count() > len(held):
+        keys = state.sparkSession.createDataFrame([(r["source"], r["unit"]) for r in held], "source string, unit string") if held else state.limit(0).select("source", "unit")
+        rest = state.join(F.broadcast(keys), ["source", "unit"], "left_anti")
+        cipher.rest = cut(rest.select("source", "unit", F.to_json(F.struct("unit", "readings", "letter", "p")).alias("own")), "rest")
+    return cipher
+
+
+#: Marks sums that are counts of letters.
+_GRAM = "letters"
 
 
 def learn(counts: DataFrame, rounds: int = 3, bounds: Bounds = Bounds()) -> Cipher:
     """Expectation-maximisation over context counts.
 
-    What reaches the driver is bounded: each source's most frequent `MODEL_CONTEXTS` contexts for the
-    letter model, and in each round the sums of each source's swaps and of its `bounds.units` most
-    frequent readings of units; rarer units have their swap's probability and their own contexts.
+    All contexts count for the letter model and all readings for the mapping. What reaches the
+    driver is bounded: counts of letters of a fixed alphabet, the sums of each source's swaps, and
+    what is known of the `bounds.units` most frequent units; the other units' part of the mapping
+    stays a table, `Cipher.rest`, and is joined to the contexts and texts that have them.
     """
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "lft", "run", "rgt")))
-    top = [tuple(r) for r in ranked.where(F.col("r") <= MODEL_CONTEXTS).drop("r").collect()]
-    letters = Letters()
-    for _, left, run, right, n in top:
-        if all(c in _PLAIN for c in run):
-            letters.add(left, run, right, n)
-    units = learn_units(counts, letters, bounds=bounds)
-    cipher = Cipher({}, letters, units=units)
+    units = learn_units(counts, letters := sound_letters(counts), bounds=bounds)
+    units = None if units is None else cut(units, "units")
+    cipher = _cipher({}, letters, None, units, bounds)
     for _ in range(rounds):
         shared = counts.sparkSession.sparkContext.broadcast(cipher)
+        rows = counts.select("source", "lft", "run", "rgt", "n")
+        if cipher.rest is None:
+            rows = rows.withColumn("own", F.lit(None).cast("string"))
+        else:
+            rows = rows.join(cipher.rest.withColumnRenamed("unit", "run"), ["source", "run"], "left").select("source", "lft", "run", "rgt", "n", "own")
 
         def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cipher, sums = shared.value, {}
+            cipher, sums, fresh, seen = shared.value, {}, Letters(), 0
+
+            def all_sums() -> pd.DataFrame:
+                lines = [(*k, *v) for k, v in sums.items()] + [("", gram, "", _GRAM, n, 0.0) for gram, n in _grams(fresh)]
+                return pd.DataFrame(lines, columns=["source", "unit", "plain", "swap", "w", "known"])
+
             for b in batches:
-                for source, left, run, right, n in b.itertuples(index=False):
-                    if LOST in run or not readings(run):
+                for source, left, run, right, n, own in b.itertuples(index=False):
+                    if LOST in run:
                         continue
+                    lent = [json.loads(own)] if own else []
+                    cipher.lend(source, lent)
                     plain, p, swap = cipher.posterior(source, left, run, right)
-                    at = sums.setdefault((source, run, run, ""), [0.0, 0.0])
-                    at[0] += n * (1 - p)
-                    if plain is not None and swap != LEARNT:
-                        at = sums.setdefault((source, run, plain, swap), [0.0, 0.0])
-                        at[0] += n * p
-                        at[1] += n * p * _known(cipher.letters, left, plain, right)
-            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["source", "unit", "plain", "swap", "w", "known"])
-
-        sums = counts.mapInPandas(expect, "source string, unit string, plain string, swap string, w double, known double")
-        sums = sums.groupBy("source", "unit", "plain", "swap").agg(F.sum("w").alias("w"), F.sum("known").alias("known"))
+                    cipher.take_back(source, lent)
+                    fresh.add(left, plain if p > 0.5 else run, right, n)
+                    seen += 1
+                    if readings(run):
+                        at = sums.setdefault((source, run, run, ""), [0.0, 0.0])
+                        at[0] += n * (1 - p)
+                        if plain is not None and swap != LEARNT:
+                            at = sums.setdefault((source, run, plain, swap), [0.0, 0.0])
+                            at[0] += n * p
+                            at[1] += n * p * _known(cipher.letters, left, plain, right)
+                    if seen % MODEL_CONTEXTS == 0:
+                        yield all_sums()
+                        sums, fresh = {}, Letters()
+            yield all_sums()
+
+        sums = rows.mapInPandas(expect, "source string, unit string, plain string, swap string, w double, known double")
+        sums = cut(sums.groupBy("source", "unit", "plain", "swap").agg(F.sum("w").alias("w"), F.sum("known").alias("known")), "sums")
         swaps: dict[str, dict[str, float]] = {}
-        for source, swap, w in sums.where("swap <> ''").groupBy("source", "swap").agg(F.sum("w").alias("w")).collect():
+        for source, swap, w in sums.where(~F.col("swap").isin("", _GRAM)).groupBy("source", "swap").agg(F.sum("w").alias("w")).collect():
             swaps.setdefault(source, {})[swap] = w
         swaps = {s: {k: max(1e-3, v / max(1e-9, sum(own.values()))) for k, v in own.items()} for s, own in swaps.items()}
-        nth = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("all"), "unit", F.desc("w"), "plain"))
-        whole = sums.withColumn("all", F.sum("w").over(Window.partitionBy("source", "unit"))).where("swap <> ''")
-        mapping: dict[str, dict[str, dict[str, tuple[float, float]]]] = {}
-        for r in whole.withColumn("nth", nth).where(F.col("nth") <= bounds.units).collect():
-            mapping.setdefault(r["source"], {}).setdefault(r["unit"], {})[r["plain"]] = (r["w"] / max(r["all"], 1e-9), r["known"] / max(r["w"], 1e-9))
-        fresh = Letters()
-        for source, left, run, right, n in top:
-            plain, p, _ = cipher.posterior(source, left, run, right)
-            if LOST not in run:
-                fresh.add(left, plain if p > 0.5 else run, right, n)
-        cipher = Cipher(swaps, fresh, units=units, mapping=mapping)
+        each = sums.where(F.col("swap") != _GRAM).groupBy("source", "unit").agg(F.sum("w").alias("all"), F.collect_list(F.when(F.col("swap") != "", F.struct("plain", "w", "known"))).alias("r")).where(F.size("r") > 0)
+        share = lambda x: F.struct(x["plain"].alias("plain"), (x["w"] / F.greatest("all", F.lit(1e-9))).alias("share"), (x["known"] / F.greatest(x["w"], F.lit(1e-9))).alias("known"))
+        fresh = _model(sums.where(F.col("swap") == _GRAM).select(F.col("unit").alias("gram"), F.col("w").alias("n")))
+        cipher = _cipher(swaps, fresh, each.select("source", "unit", "all", F.transform("r", share).alias("readings")), units, bounds)
     return cipher
 
 
@@ -389,6 +490,26 @@ class _Signs:
         return got
 
 
+def _needed(run: str) -> set[str]:
+    """The units that restoring a run may ask for: itself, and those of what it may stand for."""
+    return {run, *(r for _, p in readings(run) for r in _RUN.findall(p))}
+
+
+def _with_rest(texts: DataFrame, rest: DataFrame) -> DataFrame:
+    """`(source, text)` texts, with what the rest knows of the units that each may ask for as `_own`."""
+
+    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for source, digest, text in b.itertuples(index=False):
+                units = sorted({u for run in set(_RUN.findall(text)) for u in _needed(run)})
+                yield pd.DataFrame({"source": source, "_digest": digest, "unit": units})
+
+    rows = texts.withColumn("_digest", F.sha2("text", 256))
+    units = rows.select("source", "_digest", "text").mapInPandas(needed, "source string, _digest string, unit string").distinct()
+    own = units.join(rest, ["source", "unit"]).groupBy("source", "_digest").agg(F.to_json(F.collect_list("own")).alias("_own"))
+    return rows.join(own, ["source", "_digest"], "left").drop("_digest")
+
+
 def restore(texts: DataFrame, cipher: Cipher, *carry: str) -> DataFrame:
     """`(*carry, text, restored, restorable)` of the texts with garbled characters.
 
@@ -430,10 +551,13 @@ def restore(texts: DataFrame, cipher: Cipher, *carry: str) -> DataFrame:
 
         for b in batches:
             keep, restored, whole = [], [], []
-            for k, (source, text) in enumerate(zip(b["source"], b["text"])):
+            for k, (source, text, own) in enumerate(zip(b["source"], b["text"], b["_own"])):
+                lent = [json.loads(x) for x in json.loads(own)] if own else []
+                cipher.lend(source, lent)
                 fixed, swaps = put(source, text)
                 if swaps:  # other runs of the value have likely gone the same way
                     fixed, _ = put(source, fixed, 0.5, swaps)
+                cipher.take_back(source, lent)
                 if swaps or LOST in text:
                     keep.append(k)
                     restored.append(fixed)
@@ -442,4 +566,6 @@ def restore(texts: DataFrame, cipher: Cipher, *carry: str) -> DataFrame:
                 own = b.iloc[keep]
                 yield own[[*carry, "text"]].assign(restored=restored, restorable=whole)
 
-    return texts.where(F.col("text").rlike("[^\\x00-\\x7F]")).select(*carry, *([] if "source" in carry else ["source"]), "text").mapInPandas(apply, schema)
+    rows = texts.where(F.col("text").rlike("[^\\x00-\\x7F]")).select(*carry, *([] if "source" in carry else ["source"]), "text")
+    rows = rows.withColumn("_own", F.lit(None).cast("string")) if cipher.rest is None else _with_rest(rows, cipher.rest)
+    return rows.mapInPandas(apply, schema)

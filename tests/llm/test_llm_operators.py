@@ -318,6 +318,24 @@ def test_letter_model_covers_small_sources(spark, monkeypatch):
     assert cipher.letters.counts[0]["ù"] == 1
 
 
+@pytest.mark.parametrize(("written", "read"), [("utf-8", "cp1252"), ("cp1252", "mac_roman"), ("utf-8", "koi8_r")])
+def test_units_beyond_those_held_are_learnt_and_restored_alike(spark, monkeypatch, written, read):
+    """What is known of a unit doesn't depend on how many units are held in memory, or on how often tasks pass sums on."""
+    words = "défilé légende dévorée écharpe décor étole brodée plissée coupée fermée réseau crépon à là où".split()
+    rows = [(i, "s", f"la {w} noire {i}") for i, w in enumerate(words * 8)] + [(900 + i, "t", f"più «{w}» ½") for i, w in enumerate(words)]
+    rows += [(1000 + i, s, f"la {_garble(w, written, read)} noire") for i, (w, s) in enumerate((w, s) for w in words for s in "st")]
+    df = spark.createDataFrame(rows, "id long, source string, text string")
+    counts = encoding.context_counts(df)
+    whole = encoding.learn(counts)
+    monkeypatch.setattr(encoding, "MODEL_CONTEXTS", 3)
+    few = encoding.learn(counts, bounds=encoding.Bounds(units=1))
+    assert whole.rest is None and few.rest is not None
+    assert few.letters.total == whole.letters.total and few.letters.counts == whole.letters.counts
+    assert few.swaps.keys() == whole.swaps.keys() and all(few.swaps[s] == pytest.approx(whole.swaps[s]) for s in whole.swaps)
+    got, same = ({r.id: r.restored for r in encoding.restore(df, c, "id").collect()} for c in (few, whole))
+    assert got == same and len(got) > 10
+
+
 def test_garbled_words_of_other_languages(spark):
     rows = [(i, "s", t) for i, t in enumerate(SOUND * 30)] + [(900, "s", "COLEÇÃO VERÃO, выставка, ζώνη")]
     bad = {1000: ("la COLEÇÃO VERÃO", "latin-1"), 1001: ("la ζώνη μεταξωτή", "latin-1"), 1002: ("la выставка", "latin-1")}
